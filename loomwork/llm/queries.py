@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import url_rules
+from . import chat, pii, secrets, url_rules
 
 QUERIES = {
     "op2_url_rules": url_rules.op2_url_rules,
+    "op4_chat": chat.op4_chat,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_pii": pii.op6_pii,
 }
 
 ORACLES = {
     "op2_url_rules": url_rules.ORACLE,
+    "op4_chat": chat.ORACLE,
 }
