@@ -86,3 +86,29 @@ def spans_text(found: Column) -> Column:
     """kind:start:end of an array of labelled matches, by start and then kind, comma-joined."""
     by_start = F.array_sort(found)
     return F.array_join(F.transform(by_start, lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"])), ",")
+
+
+def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) -> DataFrame:
+    """The columns keep of df, untouched, and the fields that a Python function makes of each text.
+
+    start() is called once for each partition and returns the function from a text (or None) to a
+    tuple of the fields. Arrow batches pass between Spark and Python; a partition isn't held whole.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kept = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    made = df.sparkSession.createDataFrame([], fields).schema
+    out = StructType([*[kept.schema[c] for c in keep], *made.fields])
+    types = [f.type for f in to_arrow_schema(made)]
+
+    def run(batches):
+        one = start()
+        for batch in batches:
+            rows = [one(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
+
+    return kept.mapInArrow(run, out)

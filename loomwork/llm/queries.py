@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, pii, secrets, url_rules
+from . import bpe, chat, decontaminate, pii, secrets, url_rules
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_url_rules": url_rules.op2_url_rules,
     "op4_chat": chat.op4_chat,
     "op5_secrets": secrets.op5_secrets,
     "op6_pii": pii.op6_pii,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op2_url_rules": url_rules.ORACLE,
     "op4_chat": chat.ORACLE,
 }
