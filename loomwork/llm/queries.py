@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, pii, secrets, url_rules
+from . import bpe, chat, decontaminate, pii, quality, secrets, topk, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_url_rules": url_rules.op2_url_rules,
+    "op3_quality": quality.op3_quality,
     "op4_chat": chat.op4_chat,
     "op5_secrets": secrets.op5_secrets,
     "op6_pii": pii.op6_pii,
     "op9_bpe": bpe.op9_bpe,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_url_rules": url_rules.ORACLE,
     "op4_chat": chat.ORACLE,
+    "op10_topk": topk.ORACLE,
 }
