@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, pii, quality, secrets, topk, url_rules
+from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, topk, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_secrets": secrets.op5_secrets,
     "op6_pii": pii.op6_pii,
+    "op7_neardup": neardup.op7_neardup,
     "op9_bpe": bpe.op9_bpe,
     "op10_topk": topk.op10_topk,
 }
@@ -19,5 +20,6 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_url_rules": url_rules.ORACLE,
     "op4_chat": chat.ORACLE,
+    "op7_neardup": neardup.ORACLE,
     "op10_topk": topk.ORACLE,
 }
