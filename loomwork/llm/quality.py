@@ -134,17 +134,25 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray,
     return weight, bias
 
 
-def logistic(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """a and b of 1 / (1 + exp(-(a * margin + b))), by Newton's method with smoothed targets and a small ridge."""
+def logistic(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(-(a * margin + b))), by Newton's method with halved steps, smoothed targets and a small ridge."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([margins, np.ones_like(margins)], axis=1)
+    x = np.stack([margins, np.ones_like(margins)], axis=1).astype(np.float64)
+
+    def loss(theta: np.ndarray) -> float:
+        z = x @ theta
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * theta @ theta)
+
     theta = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
         move = np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * theta)
-        theta -= np.clip(move, -5, 5)
+        now = loss(theta)
+        while loss(theta - move) > now and abs(move).max() > 1e-10:
+            move /= 2
+        theta = theta - move
         if abs(move).max() < 1e-8:
             break
     return float(theta[0]), float(theta[1])

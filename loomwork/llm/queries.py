@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, topk, url_rules
+from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op6_pii": pii.op6_pii,
     "op7_neardup": neardup.op7_neardup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_topk": topk.op10_topk,
 }
