@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,6 +165,26 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forest(link: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the links between rows and columns, those that connect what isn't yet; the joined columns are connected from the start."""
+    parent = list(range(sum(link.shape)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    known = (np.flatnonzero(joined) + len(link)).tolist()
+    for i in known:
+        parent[i] = known[0]
+    for x, y in np.argwhere(link).tolist():
+        a, b = root(x), root(y + len(link))
+        if a != b:
+            parent[a] = b
+            yield x, y
+
+
 def _block(size: int, percent: int):
     def run(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -172,8 +193,9 @@ def _block(size: int, percent: int):
             both = _overlaps(left, right)
             n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
             link = 100 * both >= percent * (n[:, None] + m[None, :] - both)
-            ids = ys["id"].to_numpy()
-            found = [(x, ids[row.argmax()]) for x, row in zip(xs["id"], link, strict=True) if row.any()]
+            a, b = xs["id"].to_numpy(), ys["id"].to_numpy()
+            link &= a[:, None] != b[None, :]
+            found = [(a[x], b[y]) for x, y in _forest(link, ys["inside"].to_numpy(dtype=bool))]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
@@ -252,15 +274,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     rest = rest.join(sizes, "label", "left").select("id", "key", "label", F.coalesce("members", F.lit(1)).alias("members"))
     rest = stored(rest.join(nodes, "id"), "neardup-open")
-    held = rest.groupBy("key", "label").agg(F.min("members").alias("members"), F.min("n").alias("n"), F.max("n").alias("top"), *[F.min(s).alias(s) for s in _SKETCH]).alias("y")
+    # nodes that share a bucket with a large component are its pool; they are compared in blocks with it and each other
+    large = F.max(F.when(F.col("members") > SMALL, F.struct("members", "label")))
+    near = rest.select("id", "key", "label").join(rest.groupBy("key").agg(large.alias("big")).filter("big IS NOT NULL"), "key").filter(F.col("label") != F.col("big.label"))
+    pool = stored(near.groupBy("id").agg(F.max("big").alias("big")).select("id", F.col("big.label").alias("family")), "neardup-pool")
+    rest = rest.join(pool, "id", "left")
+    one_family = F.when((F.min("family") == F.max("family")) & (F.count("family") == F.count(F.lit(1))), F.min("family"))
+    held = rest.groupBy("key", "label").agg(F.min("members").alias("members"), F.min("n").alias("n"), one_family.alias("family"), *[F.min(s).alias(s) for s in _SKETCH]).alias("y")
     x = rest.alias("x")
     smaller = (F.col("x.members") < F.col("y.members")) | ((F.col("x.members") == F.col("y.members")) & (F.col("x.label") < F.col("y.label")))
     fits = F.when(F.col("y.members") == 1, _alike("x", "y", percent)).otherwise(F.lit(True))
-    against = x.join(held, (F.col("x.key") == F.col("y.key")) & smaller & fits).select(F.col("x.id").alias("id"), F.col("y.label").alias("label"), F.col("y.members").alias("members")).distinct()
+    pooled = F.coalesce((F.col("x.family") == F.col("y.family")) | (F.col("x.family") == F.col("y.label")), F.lit(False))
+    against = x.join(held, (F.col("x.key") == F.col("y.key")) & smaller & fits & ~pooled).select(F.col("x.id").alias("id"), F.col("y.label").alias("label"), F.col("y.members").alias("members")).distinct()
     against = stored(against, "neardup-against")
     members = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     found = _verified(_few(against, nodes, members, percent), texts, size, percent)
-    found = found.unionByName(_many(against, members, texts, size, percent))
+    found = found.unionByName(_many(against, pool, members, texts, size, percent))
     edges = edges.unionByName(stored(found, "neardup-more"))
     labels = components(edges)
 
@@ -283,19 +312,22 @@ def _few(against: DataFrame, nodes: DataFrame, members: DataFrame, percent: int)
     return joined.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
 
 
-def _many(against: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links with the members of large components, in blocks: at most one for each node and block."""
-    many = against.filter(F.col("members") > SMALL)
-    wide = members.groupBy("label").agg(F.max("n").alias("top"))
-    askers = many.join(wide, "label").groupBy("label").agg(F.count(F.lit(1)).alias("asking"), F.max("members").alias("members"), F.max("top").alias("top"))
+def _many(against: DataFrame, pool: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of pools and other nodes with large components, and within pools, in blocks of bounded size."""
+    asking = against.filter(F.col("members") > SMALL).select("id", "label").unionByName(pool.select("id", F.col("family").alias("label"))).distinct()
+    inside = members.select("id", "label", "n").join(asking.select("label").distinct(), "label").withColumn("inside", F.lit(True))
+    outside = pool.select("id", F.col("family").alias("label")).join(members.select("id", "n"), "id").select("label", "id", "n").withColumn("inside", F.lit(False))
+    asked = inside.select("label", "id", "n", "inside").unionByName(outside)
+    sizes = asked.groupBy("label").agg(F.count(F.lit(1)).alias("asked"), F.max("n").alias("top")).join(asking.groupBy("label").agg(F.count(F.lit(1)).alias("asking")), "label")
     rows = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES / F.col("top"))))
-    plan = askers.select("label", F.ceil(F.col("asking") / rows).alias("x_blocks"), F.ceil(F.col("members") / rows).alias("y_blocks"))
+    plan = sizes.select("label", F.ceil(F.col("asking") / rows).alias("x_blocks"), F.ceil(F.col("asked") / rows).alias("y_blocks"))
     deal = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    xs = many.join(plan, "label").select("label", "id", deal("x_blocks", 1).alias("x"), every("y_blocks").alias("y")).join(texts, "id")
-    ys = members.join(plan, "label").select("label", "id", deal("y_blocks", 2).alias("y"), every("x_blocks").alias("x")).join(texts, "id")
     by = ["label", "x", "y"]
-    xs, ys = (d.select(*[F.col(c).alias(c) for c in (*by, "id", "text")]) for d in (xs, ys))
+    xs = asking.join(plan, "label").select("label", "id", deal("x_blocks", 1).alias("x"), every("y_blocks").alias("y")).join(texts, "id")
+    ys = asked.join(plan, "label").select("label", "id", "inside", deal("y_blocks", 2).alias("y"), every("x_blocks").alias("x")).join(texts, "id")
+    xs = xs.select(*[F.col(c).alias(c) for c in (*by, "id", "text")])
+    ys = ys.select(*[F.col(c).alias(c) for c in (*by, "id", "inside", "text")])
     return xs.groupBy(*by).cogroup(ys.groupBy(*by)).applyInPandas(_block(size, percent), "a long, b long")
 
 
