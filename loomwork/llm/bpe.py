@@ -139,6 +139,16 @@ def encode(docs: DataFrame, made, text: str = "text", keep: list[str] | None = N
     return map_texts(docs, text, keep or [c for c in docs.columns if c != "ids"], "ids array<int>", start)
 
 
+def decode(coded: DataFrame, made, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (default: all) and decoded, the bytes of the ids. Null ids give no bytes; an id without a token is an error."""
+
+    def start():
+        c = made()
+        return lambda x: (c.decode(x or []),)
+
+    return map_texts(coded, ids, keep or [c for c in coded.columns if c != "decoded"], "decoded binary", start)
+
+
 def digests(docs: DataFrame, made, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep with n_tokens, the digest of the ids and that of the bytes that they decode to."""
 
