@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = SHA
         home = stored(home, "topk-home")
         kth = home.groupBy(F.col("quid").alias("uid")).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
-        spread = asking.withColumnRenamed("shard", "home").join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "kth", "block", others.cast("int").alias("shard"))
+        spread = asking.withColumnRenamed("shard", "home").join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "kth", "block", others.alias("shard"))
         copied = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         away = copied.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInPandas(_searcher(k), _FOUND)
         best = home.unionByName(away)
