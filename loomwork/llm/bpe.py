@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, table
 
-#: Pretokens whose ids each Python worker remembers; beyond it the memory starts anew.
-CACHE = 100_000
+#: Pretokens in each generation of what a Python worker remembers.
+CACHE = 200_000
 _NONE = 1 << 62
 
 
@@ -81,30 +81,63 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Memory:
+    """What make(key) gives, remembered in two generations: when the young one is full it becomes the old one, whose keys are found again as they recur."""
+
+    def __init__(self, make, most: int = CACHE) -> None:
+        self.make, self.most = make, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.make(key)
+                if len(key) > 64:
+                    return got
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = got
+        return got
+
+    def all(self, keys: list) -> list:
+        got = list(map(self.young.get, keys))
+        if None in got:
+            got = [self.get(k) if g is None else g for k, g in zip(keys, got, strict=True)]
+        return got
+
+
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
-        self.ranks, self.most = ranks, cache
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, list[int]] = {}
+        self.ids = Memory(self._ids)
+        self.written = Memory(self._written)
+
+    def _ids(self, token: str) -> list[int]:
+        return merge(token.encode("utf-8"), self.ranks)
+
+    def _written(self, token: str) -> tuple[str, int, bytes]:
+        ids = self._ids(token)
+        return ",".join(map(str, ids)), len(ids), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.known
-        for token in self.split(text):
-            ids = known.get(token)
-            if ids is None:
-                ids = merge(token.encode("utf-8"), self.ranks)
-                if len(token) <= 64:
-                    if len(known) >= self.most:
-                        known.clear()
-                    known[token] = ids
+        for ids in self.ids.all(self.split(text)):
             out += ids
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def write(self, text: str) -> tuple[int, str, bytes]:
+        """The number of ids, the ids in decimal, comma-joined, and the bytes that they decode to."""
+        parts = self.written.all(self.split(text))
+        return sum([p[1] for p in parts]), ",".join([p[0] for p in parts]), b"".join([p[2] for p in parts])
+
 
 #: The codec that this Python worker made last, by the name of the ranks it was sent.
 _CODECS: dict[str, Codec] = {}
@@ -156,8 +189,8 @@ def digests(docs: DataFrame, made, text: str = "text", keep: list[str] | None =
         c = made()
 
         def one(t: str | None):
-            ids = c.encode(t) if t else []
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+            n, ids, back = c.write(t or "")
+            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
         return one
 
