@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, table
 
-#: Pretokens in each generation of what a Python worker remembers.
-CACHE = 200_000
+#: Characters of pretokens in each generation of what a Python worker remembers.
+CACHE = 2_000_000
 _NONE = 1 << 62
 
 
@@ -85,7 +85,7 @@ class Memory:
     """What make(key) gives, remembered in two generations: when the young one is full it becomes the old one, whose keys are found again as they recur."""
 
     def __init__(self, make, most: int = CACHE) -> None:
-        self.make, self.most = make, most
+        self.make, self.most, self.room = make, most, most
         self.young: dict = {}
         self.old: dict = {}
 
@@ -95,10 +95,11 @@ class Memory:
             got = self.old.get(key)
             if got is None:
                 got = self.make(key)
-                if len(key) > 64:
-                    return got
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
+            if len(key) > self.most // 8:
+                return got
+            self.room -= len(key)
+            if self.room < 0:
+                self.old, self.young, self.room = self.young, {}, self.most - len(key)
             self.young[key] = got
         return got
 
