@@ -1,31 +1,8 @@
-"""Named queries over the driver's tables, each with an equivalent SQL statement."""
+"""All named queries over the driver's tables, each with an equivalent SQL statement where SQL has one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import changes, ordered, rollups, texts
 
-from ..operators import merge
-from ..sources import tables
-
-
-def index_merge_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("visibility"), F.col("c_acctbal").alias("score"))
-    existing = c.filter(F.col("key") % 3 != 0)
-    blank = F.when(F.col("key") % 4 == 0, F.lit("")).otherwise(F.lower("visibility"))
-    fresh = c.filter(F.col("key") % 2 == 0).select("key", "name", blank.alias("visibility"), (F.col("score") + 1).alias("score"))
-    return merge.overlay(existing, fresh, "key", keep_left_if_blank=("visibility",)).select("key", "name", "visibility", F.round("score", 2).alias("score"), "origin")
-
-
-QUERIES = {"index_merge_full_outer": index_merge_full_outer}
-
-ORACLES = {
-    "index_merge_full_outer": """
-WITH c AS (SELECT c_custkey AS key, c_name AS name, c_mktsegment AS visibility, c_acctbal AS score FROM customer),
-l AS (SELECT * FROM c WHERE key % 3 <> 0),
-r AS (SELECT key, name, CASE WHEN key % 4 = 0 THEN '' ELSE lower(visibility) END AS visibility, score + 1 AS score FROM c WHERE key % 2 = 0)
-SELECT coalesce(r.key, l.key) AS key, coalesce(r.name, l.name) AS name, coalesce(nullif(r.visibility, ''), l.visibility, r.visibility) AS visibility,
-  round(coalesce(r.score, l.score), 2) AS score, CASE WHEN l.key IS NULL THEN 'added' WHEN r.key IS NULL THEN 'kept' ELSE 'updated' END AS origin
-FROM l FULL JOIN r ON l.key = r.key
-""",
-}
+QUERIES = changes.QUERIES | rollups.QUERIES | ordered.QUERIES | texts.QUERIES
+ORACLES = changes.ORACLES | rollups.ORACLES | ordered.ORACLES | texts.ORACLES
