@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import text
+from ..operators import chain, code, text
 from ..sources import tables, tagged
 
 read = tables.read
@@ -87,7 +87,34 @@ def content_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", strings.fingerprint(F.col("text")).alias("fp"), strings.last_line(F.col("text")).alias("last"), strings.kebab(F.col("source")).alias("source"))
 
 
-QUERIES = {f.__name__: f for f in (sensitive_lines, exempt_findings, exempt_hints, url_parts, mask_url, first_paragraph, props_json, tagged_round_trip, commit_messages, git_dates, content_names)}
+def stage_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = [
+        chain.Stage("trim", lambda d: d.withColumn("text", F.regexp_replace("text", r"[ \n]+$", ""))),
+        chain.Stage("short", lambda d: d.filter(F.length("text") >= 500)),
+        chain.Stage("broken", lambda d: d.select("nothing"), on_fail="warn"),
+        chain.Stage("mark", lambda d: d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))),
+    ]
+    return chain.run(read(spark, sf_dir, "documents").select("doc_id", "text"), stages, "doc_id")[1]
+
+
+_SOURCE = """export function first(a) {
+  if (a) { return "}"; }
+}
+const second = async (b) => {
+  // }
+  return b;
+};
+const third = x => x + 1;
+function fourth() { return 1; }
+"""
+
+
+def function_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read(spark, sf_dir, "nation").select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"), F.lit(".js")).alias("path"), F.concat(F.repeat(F.lit("\n"), F.col("n_nationkey")), F.lit(_SOURCE)).alias("text"))
+    return code.extract_functions(files)
+
+
+QUERIES = {f.__name__: f for f in (sensitive_lines, exempt_findings, exempt_hints, url_parts, mask_url, first_paragraph, props_json, tagged_round_trip, commit_messages, git_dates, content_names, stage_receipts, function_extract)}
 
 
 def _sensitive_sql() -> str:
@@ -151,5 +178,16 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN '0 +0000' ELSE floor(epoch
 """,
     "content_names": r"""
 SELECT doc_id, left(sha256(text), 16) AS fp, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[-1] AS last, lower(regexp_replace(source, '([A-Z])', '-\1', 'g')) AS source FROM documents
+""",
+    "stage_receipts": r"""
+WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text, '[ \n]+$', '') AS t1 FROM documents), b AS (SELECT *, length(t1) >= 500 AS k FROM a)
+SELECT 0 AS ord, 'trim' AS stage, 'ok' AS status, 0::BIGINT AS added, count(*) FILTER (WHERE t0 <> t1) AS modified, 0::BIGINT AS deleted, count(*) FILTER (WHERE t0 <> t1) AS total FROM b
+UNION ALL SELECT 1, 'short', 'ok', 0, 0, count(*) FILTER (WHERE NOT k), count(*) FILTER (WHERE NOT k) FROM b
+UNION ALL SELECT 2, 'broken', 'failed', 0, 0, 0, 0
+UNION ALL SELECT 3, 'mark', 'ok', 0, count(*) FILTER (WHERE k AND doc_id % 2 = 0), 0, count(*) FILTER (WHERE k AND doc_id % 2 = 0) FROM b
+""",
+    "function_extract": """
+SELECT 'src/' || n_nationkey || '.js' AS path, f.name, (n_nationkey + f.a)::INT AS start_line, (n_nationkey + f.b)::INT AS end_line, (f.b - f.a + 1)::INT AS lines
+FROM nation, (VALUES ('first', 1, 3), ('second', 4, 7), ('third', 8, 8), ('fourth', 9, 9)) AS f(name, a, b)
 """,
 }
