@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     labels = components(edges)
 
     named = groups.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id"))
-    out = sketches.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketches.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
