@@ -148,6 +148,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = SHA
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
         spread = asking.withColumnRenamed("shard", "home").join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "kth", "block", others.alias("shard"))
         copied = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # both come from one table; new names keep their columns apart
+        copied, spread = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (copied, spread))
         away = copied.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInPandas(_searcher(k), _FOUND)
         best = home.unionByName(away)
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid"))
