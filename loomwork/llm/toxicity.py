@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 from .quality import fold, logistic
 
 WINDOW, STRIDE = 32, 16
@@ -294,7 +294,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, use, text: str) -> t
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     shift = float(np.log((min(n1, most[1]) + 1) / (min(n0, most[0]) + 1)) - np.log((n1 + 1) / (n0 + 1)))
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
-    return texts, shift
+    return stored(texts, "toxicity-sample"), shift
 
 
 def _log_odds(sample: DataFrame) -> np.ndarray:
@@ -342,7 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", text: str
     rows = []
     for toxic in (False, True):
         part = sample.filter(~held & (F.col("y") == int(toxic)))
-        rows += map_texts(part, "text", ["doc_id", "y"], "windows array<array<string>>", start(toxic)).orderBy("doc_id").collect()
+        rows += map_texts(part, "text", ["doc_id", "y"], "windows array<array<string>>", start(toxic)).collect()
+    rows.sort(key=lambda r: (r["y"], r["doc_id"]))  # few enough to be sorted here; orderBy() would run the Python function twice
     windows = [list(w) for r in rows for w in r["windows"]]
     y = np.array([r["y"] for r in rows for _ in r["windows"]], dtype=np.float32)
     net = Network()
@@ -354,11 +355,12 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", text: str
     # windows of clean texts that the network takes for toxic join the training
     clean = sample.filter(~held & (F.col("y") == 0)).select("doc_id", "text")
     for n in range(MINED):
-        mined = hardest(clean, net).orderBy("doc_id").collect()
+        mined = sorted(hardest(clean, net).collect(), key=lambda r: r["doc_id"])
         windows += [list(r["window"]) for r in mined if r["logit"] > MINE_ABOVE]
         y = np.concatenate([y, np.zeros(len(windows) - len(y), np.float32)])
         net.train(windows, y, epochs=2, seed=6 + n)
-    held_out = logits(sample.filter(held).select("doc_id", "text", "y"), net, keep=["doc_id", "y"]).orderBy("doc_id").collect()
+    held_out = logits(sample.filter(held).select("doc_id", "text", "y"), net, keep=["doc_id", "y"]).collect()
+    held_out.sort(key=lambda r: r["doc_id"])
     a, b = logistic(np.array([r["logit"] for r in held_out]), np.array([r["y"] for r in held_out], dtype=np.int64)) if len({r["y"] for r in held_out}) == 2 else (1.0, 0.0)
     net.curve = (a, b - shift)
     return net
