@@ -73,6 +73,14 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert out[12]["clean"] == out[12]["text"]
 
 
+def test_names_beside_a_unique_address_are_found(spark):
+    rows = [(1, "please write to Zebulon Ox about the office at zo77@corp.test today"), (1, "please write to Zebulon Ox about the office at zo77@corp.test today")]
+    rows += [(10 + i, f"please write about the office at number {i} today to common words") for i in range(80)]
+    out = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("clean", pii.sanitised(F.col("text"), F.col("pii"))).collect()}
+    assert out[1]["clean"] == "please write to <TERM> <TERM> about the office at <EMAIL> today"
+    assert all(out[10 + i]["pii"] == [] for i in range(80))
+
+
 def test_copies_of_one_text_are_no_evidence(spark):
     rows = [(i, "note zephyrhold: boss@corp.test") for i in range(6)] + [(10 + i, f"other words {i}") for i in range(20)]
     out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
