@@ -16,10 +16,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, map_texts, table
+from .common import LOWER, UPPER, map_texts, stored, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SPARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -229,6 +229,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     each = reduce(DataFrame.unionByName, [_hits(named, ["doc_id", "_h1", "_h2"], text, s) for s in shards])
     distinct = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     one = each.groupBy("doc_id", "_h1", "_h2").agg(F.max("n_words").alias("n_words"), distinct("spans").alias("s"), distinct("items").alias("items"), F.count(F.lit(1)).alias("n"))
+    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(shards)).cast("int")))
+    return one.select("doc_id", "n_words", _merged(F.col("s")).alias("spans"), "items", copies.alias("_c")).drop("_c")
+
+
+def _merged(s: Column) -> Column:
+    """Sorted intervals, with those that meet or overlap joined."""
     none = F.array().cast("array<array<int>>")
 
     def step(acc, s):
@@ -236,39 +242,59 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
         longer = F.array(F.get(last, F.lit(0)), F.greatest(F.get(last, F.lit(1)), s[1]))
         return F.when((F.size(acc) > 0) & (F.get(last, F.lit(1)) >= s[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
 
-    spans = F.when(F.size("s") == 0, none).otherwise(F.aggregate("s", none, step))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(shards)).cast("int")))
-    return one.select("doc_id", "n_words", spans.alias("spans"), "items", copies.alias("_c")).drop("_c")
+    return F.when(F.size(s) == 0, none).otherwise(F.aggregate(s, none, step))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text: str = "text", item_id: str = "item_id", shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with the occurrences cut out of the texts; documents hit in more than max_coverage of their words go.
 
-    Cutting repeats until nothing is hit, also where a cut brings words together. With several shards
-    coverage is judged shard by shard. Null texts stay null, and columns keep their order.
+    Coverage is judged once, on the given text, over all items. Cutting repeats until nothing is hit,
+    also where a cut brings words together. The number of shards doesn't change the result. Null texts
+    stay null, and columns keep their order.
     """
     spark, columns = docs.sparkSession, docs.columns
-    for items in _shards(benchmark, text, item_id, shard_words):
-        built = _automaton(spark, items, window)
-
-        def start(built=built):
-            auto = built()
-
-            def one(t: str | None):
-                seq = words(t)
-                spans = auto.hits(seq)[0]
-                if sum(b - a for a, b in spans) > max_coverage * max(1, len(seq)):
-                    return None, True
-                while spans:
-                    t = remove(t, spans)
-                    spans = auto.hits(words(t))[0]
-                return t, False
-
-            return one
-
-        cut = map_texts(docs, text, columns, "_cut string, _gone boolean", start).filter(~F.col("_gone"))
-        docs = cut.select(*[F.col("_cut").alias(text) if c == text else F.col(f"`{c}`") for c in columns])
-    return docs
+    shards = [_automaton(spark, items, window) for items in _shards(benchmark, text, item_id, shard_words)]
+    if len(shards) > 1:
+        return _clean_by_shards(docs, shards, max_coverage, text)
+    built = shards[0]
+
+    def start():
+        auto = built()
+
+        def one(t: str | None):
+            seq = words(t)
+            spans = auto.hits(seq)[0]
+            if sum(b - a for a, b in spans) > max_coverage * max(1, len(seq)):
+                return None, True
+            while spans:
+                t = remove(t, spans)
+                spans = auto.hits(words(t))[0]
+            return t, False
+
+        return one
+
+    cut = map_texts(docs, text, columns, "_cut string, _gone boolean", start).filter(~F.col("_gone"))
+    return cut.select(*[F.col("_cut").alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+
+
+def _clean_by_shards(docs: DataFrame, shards: list, max_coverage: float, text: str) -> DataFrame:
+    """clean() in rounds: what all shards hit is merged for each text and cut at once; texts that were cut go to the next round."""
+    columns, done, first = docs.columns, [], True
+    cut = F.udf(remove, "string")
+    while True:
+        named = docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(text, F.lit(1)))
+        each = reduce(DataFrame.unionByName, [_hits(named, ["_h1", "_h2"], text, s) for s in shards]).filter(F.size("spans") > 0)
+        # copies of a text are hit alike, so that a set holds as many lists as there are shards at most
+        one = each.groupBy("_h1", "_h2").agg(F.max("n_words").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("_s"))
+        n_hit = F.aggregate("_s", F.lit(0), lambda n, s: n + s[1] - s[0])
+        hit = one.select("_h1", "_h2", "_n", _merged(F.col("_s")).alias("_s")).select("_h1", "_h2", "_s", (F.lit(first) & (n_hit > max_coverage * F.col("_n"))).alias("_gone"))
+        hit = stored(hit, "decontaminate-hits")
+        done.append(named.join(hit, ["_h1", "_h2"], "left_anti").select(*[F.col(f"`{c}`") for c in columns]))
+        if hit.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left = named.join(hit.filter(~F.col("_gone")), ["_h1", "_h2"])
+        docs = stored(left.select(*[cut(text, "_s").alias(c) if c == text else F.col(f"`{c}`") for c in columns]), "decontaminate-cut")
+        first = False
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

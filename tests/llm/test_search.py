@@ -89,6 +89,24 @@ def test_cleaned_texts_hold_no_window(spark):
     assert all(brute.contamination(r["text"], items)[1] == 0 for r in out.values())
 
 
+def test_cleaning_does_not_depend_on_the_number_of_shards(spark):
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    one, two, free = word("p", 12), word("q", 12), word("f", 16)
+    # 30 % and 30 % of the words; and a cut of either item joins the halves of the other
+    rows = [(1, " ".join([*one, *free[:8], *two, *free[8:]])), (2, " ".join([*free, *free, *one[:6], *two, *one[6:], *free])), (3, " ".join([*free, *free, *two[:6], *one, *two[6:], *free])), (2, "same id"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    items = [(n, " ".join(one if n % 2 else two)) for n in range(8)]
+    items += [(10 + n, " ".join(word(f"z{n}x", 12))) for n in range(8)]
+    for n_items in (2, 16):
+        own = items[:n_items]
+        b = spark.createDataFrame(own, "item_id long, text string")
+        want = sorted(map(str, decontaminate.clean(docs, b).collect()))
+        got = decontaminate.clean(docs, b, shard_words=12)
+        assert got.columns == docs.columns and sorted(map(str, got.collect())) == want
+        assert all(brute.contamination(r["text"], own)[1] == 0 for r in got.collect()) and 1 not in {r["doc_id"] for r in got.collect()}
+    assert len(decontaminate._shards(b, "text", "item_id", 12)) > 1
+
+
 def _copies(rng, families, size, changes):
     docs = []
     for f in range(families):
