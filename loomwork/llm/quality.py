@@ -6,13 +6,15 @@ then by its norm, and a linear hinge-loss model is fitted by dual coordinate des
 
 n-grams are of three kinds: one to three shapes of consecutive tokens, where a shape keeps case,
 digits and signs of a token and whether the token, or the line, repeats the one before; and the
-lower-cased words. They are hashed, which bounds the model; a text is read whole.
+lower-cased words. They are hashed, which bounds the model; a text is read whole: a token without
+end, as in scripts without spaces or junk, is also read as pieces that are tokens of their own.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -26,6 +28,8 @@ BUCKETS = 1 << 18
 SAMPLE = 6_000
 THRESHOLD = 0.3
 CACHE = 200_000
+#: Tokens of more characters are read in pieces of so many.
+LONG, PIECE = 200, 20
 
 _TOKEN = re.compile(r"\n|[^\S\n]*[^\s]+")
 _RUNS = [(re.compile(p), to) for p, to in ((r"[^\W\d_a-zß-öø-ÿ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"\d+", "0"), (r"(\W)\1+", r"\1\1"))]
@@ -46,7 +50,7 @@ class Grams:
     def _token(self, word: str) -> tuple[str, int]:
         got = self.tokens.get(word)
         if got is None:
-            shape = word[:200]
+            shape = word
             for pattern, to in _RUNS:
                 shape = pattern.sub(to, shape)
             got = shape, _bucket("w " + word.lower())
@@ -55,6 +59,15 @@ class Grams:
             self.tokens[word] = got
         return got
 
+    def _pieces(self, line: str, buckets: set[int]) -> Iterator[str]:
+        """The line's tokens, long ones in pieces; the whole of a long one adds its bucket and isn't remembered."""
+        for word in line.split():
+            if len(word) <= LONG:
+                yield word
+            else:
+                buckets.add(_bucket("w " + word.lower()))
+                yield from (word[i : i + PIECE] for i in range(0, len(word), PIECE))
+
     def _gram(self, gram: tuple) -> int:
         got = self.grams.get(gram)
         if got is None:
@@ -71,7 +84,7 @@ class Grams:
             shapes.append("\n=" if line in lines else "\n")
             lines.add(line)
             last = None
-            for word in line.split():
+            for word in self._pieces(line, buckets):
                 shape, bucket = token(word)
                 shapes.append("=" if word == last else shape)
                 buckets.add(bucket)

@@ -36,6 +36,17 @@ def test_quality_tells_junk_and_scores_odd_texts(spark):
     assert nothing.score(quality.Grams()("x")) == pytest.approx(0.5)
 
 
+def test_quality_reads_long_tokens_to_their_end():
+    rng = random.Random(2)
+    texts = _texts(rng, 240, True)
+    grams = quality.Grams()
+    model = quality.fit_rows([grams(t) for t in texts], np.array([int(n % 3 != 0) for n in range(240)]))
+    run = "".join(rng.choice("abcdefgh") for _ in range(400))
+    good, bad = run + "theriverunderstone" * 20, run + "river%%%stone###house$$$" * 20
+    assert model.score(grams(bad)) < model.score(grams(good))
+    assert all(len(w) <= quality.LONG for w in grams.tokens)
+
+
 def test_dual_descent_separates_what_can_be():
     rng = np.random.default_rng(1)
     rows = [np.unique(np.append(rng.integers(10, 1000, 20), 1 + (n % 2))).astype(np.int32) for n in range(200)]
