@@ -21,7 +21,7 @@ def sensitive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exempt_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    files = d.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("// skip-quality\n"), F.left("text", F.lit(200)))).when(F.col("doc_id") % 4 == 1, "a\nb\nc\nd // skip-residue skip-sensitive\ne").otherwise(F.left("text", F.lit(200))).alias("text"))
+    files = d.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("// skip-quality\n"), "text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("a\nb\nc\nd // skip-residue skip-sensitive\ne\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("regex", "semantic", "func-lines", "binary", "max-depth")]), (F.col("doc_id") % 5 + 1).cast("int"))
     rule = F.element_at(F.array(*[F.lit(k) for k in ("console-log", "security/hardcoded", "other")]), (F.col("doc_id") % 3 + 1).cast("int"))
     findings = d.select(F.col("doc_id").alias("file"), F.lit(4).alias("line"), kind.alias("kind"), rule.alias("rule"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import paths, shell, strings
 from loomwork.operators import chain, classify, code, diff, graph, merge, sets, text, windows
+from loomwork.plans import texts as texts_plan
 from loomwork.sources import tagged, workspace
 
 
@@ -180,3 +181,21 @@ def test_exempt_and_hint(spark):
     assert got == {("f", 4, "regex", "console-log"): True, ("f", 5, "regex", "console-log"): False, ("f", 4, "regex", "security/x"): False, ("g", 1, "func-lines", "r"): True, ("g", 1, "binary", "r"): False}
     hints = {r["kind"] + " " + r["rule"]: r["hint"] for r in text.hint(findings.select("kind", "rule").distinct(), text.markers(spark), "skip-quality").collect()}
     assert hints["func-lines r"] == "skip-func-length" and hints["regex security/x"] == "skip-sensitive" and hints["regex console-log"] == "skip-residue"
+
+
+def test_exempt_findings_reads_whole_texts(spark, tmp_path):
+    far = "x" * 300
+    texts = [f"{far} // skip-quality", f"a\n{far} skip-sensitive skip-residue skip-quality", "a\nb\nc\nd skip-quality", f"a\nb\nc\n{far} // skip-func-length skip-residue", f"a\nb\nc\nd\n{far} skip-quality", None, ""]
+    docs = [(i, texts[i % len(texts)]) for i in range(420)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, t in docs:
+        lines = {0: "// skip-quality\n" + t if t is not None else "", 1: "a\nb\nc\nd // skip-residue skip-sensitive\ne"}.get(i % 4, t or "").split("\n")
+        kind, rule = ("regex", "semantic", "func-lines", "binary", "max-depth")[i % 5], ("console-log", "security/hardcoded", "other")[i % 3]
+        exempt = False
+        for name, kinds, needed, by_word, unwanted, on_line in text.MARKERS:
+            fits = any(w in rule for w in needed) if kind in by_word else kind != "regex" or not any(w in rule for w in unwanted)
+            places = ["\n".join(lines[:3]), *(lines[3:4] if on_line else [])]
+            exempt |= kind in kinds and fits and any(f"skip-{name}" in p for p in places)
+        want.add((i, kind, rule, exempt))
+    assert set(map(tuple, texts_plan.exempt_findings(spark, str(tmp_path)).collect())) == want
