@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import map_texts, stored, table
 from .quality import fold, logistic
 
-WINDOW, STRIDE = 32, 16
+#: All windows are scored; those that the network is first trained on are picked at a wider stride, which makes them differ.
+WINDOW, STRIDE, PICK_STRIDE = 32, 1, 16
+#: A run of more word characters is read in overlapping pieces, each a word.
+LONG, OVERLAP = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 13
 #: Labelled texts of each class that the model is fitted on at most, in the order of a hash of doc_id.
@@ -40,7 +43,10 @@ _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if all(len(w) <= LONG for w in found):
+        return found
+    return [p for w in found for p in ([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w) - OVERLAP, LONG - OVERLAP)))]
 
 
 def _hash(name: str) -> int:
@@ -49,7 +55,7 @@ def _hash(name: str) -> int:
 
 def char_grams(word: str) -> list[int]:
     """Buckets of a word's character trigrams, with its ends marked, and of its beginnings of three to six."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     grams = [w[i : i + 3] for i in range(max(1, len(w) - 2))] + ["^" + word[:n] for n in range(3, min(6, len(word)) + 1)]
     return [_hash(g) % CHAR_BUCKETS for g in grams]
 
@@ -59,9 +65,9 @@ def cues(word: str) -> list[int]:
     return [_hash(w) % CUES for w in (word, "^" + word[:4], "^" + word[:5])]
 
 
-def window_starts(n: int) -> list[int]:
+def window_starts(n: int, stride: int = STRIDE) -> list[int]:
     """Starts of overlapping windows that together cover all n words; one window for none."""
-    return [*range(0, max(n - WINDOW, 0), STRIDE), max(n - WINDOW, 0)] if n > WINDOW else [0]
+    return [*range(0, max(n - WINDOW, 0), stride), max(n - WINDOW, 0)] if n > WINDOW else [0]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -314,7 +320,7 @@ def _log_odds(sample: DataFrame) -> np.ndarray:
 
 def pick_windows(seq: list[str], odds: np.ndarray, toxic: bool, seed: int) -> list[list[str]]:
     """Training windows of one text: two of the largest log-odds, and for texts that aren't toxic one at random."""
-    starts = window_starts(len(seq))
+    starts = window_starts(len(seq), PICK_STRIDE)
     known = {w: float(max(odds[c] for c in cues(w))) for w in set(seq)}
     worth = [max((known[w] for w in seq[s : s + WINDOW]), default=0.0) for s in starts]
     order = sorted(range(len(starts)), key=lambda i: -worth[i])

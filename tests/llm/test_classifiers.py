@@ -83,6 +83,19 @@ def test_windows_cover_every_word():
         assert covered == set(range(n))
 
 
+def test_every_window_and_the_whole_of_a_run_are_scored():
+    assert toxicity.window_starts(100) == list(range(69)) and toxicity.window_starts(33) == [0, 1]
+    run = "".join(random.Random(3).choice("abcdefgh_") for _ in range(1000))
+    for n in (64, 65, 96, 97, 1000):
+        pieces = toxicity.words(run[:n])
+        assert all(len(p) <= 64 for p in pieces) and all(any(run[i : i + 30] in p for p in pieces) for i in range(n - 29))
+    scorer = toxicity.Scorer(toxicity.Network(seed=1))
+    a, b = run[:500] + "vile" + run[504:], run
+    assert scorer.logits([a]) != scorer.logits([b])
+    grams = lambda t: {g for w in toxicity.words(t) for g in toxicity.char_grams(w)}
+    assert grams("clean_" * 60 + "vile") - grams("clean_" * 60) >= {toxicity._hash("vil") % toxicity.CHAR_BUCKETS}
+
+
 def test_toxicity_learns_words_and_beginnings_of_words(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
