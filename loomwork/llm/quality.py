@@ -15,86 +15,84 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 
 BUCKETS = 1 << 18
-#: Labelled rows that the model is fitted on at most, taken in the order of a hash of doc_id.
-SAMPLE = 6_000
+#: Labelled rows, and bytes of their n-grams, that the model is fitted on at most, taken in the order of a hash of doc_id.
+SAMPLE, SAMPLE_BYTES = 6_000, 128_000_000
 THRESHOLD = 0.3
-CACHE = 200_000
-#: Tokens of more characters are read in pieces of so many.
-LONG, PIECE = 200, 20
+#: Bytes of what a Python worker remembers of tokens, and those of an entry beside the token's characters.
+CACHE, _ENTRY = 24_000_000, 250
+#: Tokens of more characters are read in pieces: up to 20 word characters and the signs after them.
+LONG, _PIECE = 200, re.compile(r"\w{1,20}\W{0,20}|\W{1,20}")
 
-_TOKEN = re.compile(r"\n|[^\S\n]*[^\s]+")
 _RUNS = [(re.compile(p), to) for p, to in ((r"[^\W\d_a-zß-öø-ÿ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"\d+", "0"), (r"(\W)\1+", r"\1\1"))]
 
 
-def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
 class Grams:
-    """text to the sorted distinct buckets of its n-grams; shapes and buckets of frequent tokens are remembered."""
+    """text to the sorted distinct buckets of its n-grams; shape and word hashes of tokens are remembered, in bounded bytes."""
 
     def __init__(self, cache: int = CACHE) -> None:
-        self.most = cache
-        self.tokens: dict[str, tuple[str, int]] = {}
-        self.grams: dict[tuple, int] = {}
+        self.most = self.room = cache
+        self.tokens: dict[str, tuple[int, int]] = {}
+        self.start, self.end, self.line, self.same_line, self.same = map(_hash, ("^", "$", "\n", "\n=", "="))
 
-    def _token(self, word: str) -> tuple[str, int]:
+    def _token(self, word: str) -> tuple[int, int]:
         got = self.tokens.get(word)
         if got is None:
             shape = word
             for pattern, to in _RUNS:
                 shape = pattern.sub(to, shape)
-            got = shape, _bucket("w " + word.lower())
-            if len(self.tokens) >= self.most:
+            got = _hash("s " + shape), _hash("w " + word.lower())
+            self.room -= _ENTRY + 4 * len(word)
+            if self.room < 0:
                 self.tokens.clear()
+                self.room = self.most
             self.tokens[word] = got
         return got
 
-    def _pieces(self, line: str, buckets: set[int]) -> Iterator[str]:
-        """The line's tokens, long ones in pieces; the whole of a long one adds its bucket and isn't remembered."""
+    def _pieces(self, line: str, words: set[int]) -> Iterator[str]:
+        """The line's tokens, long ones in pieces; the whole of a long one adds its hash and isn't remembered."""
         for word in line.split():
             if len(word) <= LONG:
                 yield word
             else:
-                buckets.add(_bucket("w " + word.lower()))
-                yield from (word[i : i + PIECE] for i in range(0, len(word), PIECE))
-
-    def _gram(self, gram: tuple) -> int:
-        got = self.grams.get(gram)
-        if got is None:
-            got = _bucket("\x00".join(gram))
-            if len(self.grams) >= self.most:
-                self.grams.clear()
-            self.grams[gram] = got
-        return got
+                words.add(_hash("w " + word.lower()))
+                yield from (m[0] for m in _PIECE.finditer(word))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        shapes, buckets, lines = ["^"], set(), set()
+        shapes, words, lines = [self.start], set(), set()
         token = self._token
         for line in (text or "").split("\n"):
-            shapes.append("\n=" if line in lines else "\n")
-            lines.add(line)
+            name = hash(line)
+            shapes.append(self.same_line if name in lines else self.line)
+            lines.add(name)
             last = None
-            for word in self._pieces(line, buckets):
-                shape, bucket = token(word)
-                shapes.append("=" if word == last else shape)
-                buckets.add(bucket)
+            for word in self._pieces(line, words):
+                shape, own = token(word)
+                shapes.append(self.same if word == last else shape)
+                words.add(own)
                 last = word
-        shapes.append("$")
-        grams = set(zip(shapes))  # noqa: B905
-        grams.update(pairwise(shapes))
-        grams.update(zip(shapes, shapes[1:], shapes[2:]))  # noqa: B905
-        buckets.update(map(self._gram, grams))
-        return np.array(sorted(buckets), dtype=np.int32)
+        shapes.append(self.end)
+        one = _mix(np.array(shapes, np.uint64) + np.uint64(1))
+        two = _mix(one[:-1] * np.uint64(3) + one[1:])
+        three = _mix(two[:-1] * np.uint64(5) + one[2:])
+        found = np.concatenate([one, two, three, np.fromiter(words, np.uint64, len(words))])
+        return np.unique(found % np.uint64(BUCKETS)).astype(np.int32)
 
 
 class Model:
@@ -201,15 +199,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, use, sample: i
     return docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"), F.min("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, use, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """n-grams are made on the executors; bounded rows of bucket numbers reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, use, label: str = "quality", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """n-grams are made on the executors; at most sample rows, and at most_bytes of bucket numbers, reach the driver, in the order of a hash of doc_id."""
 
     def start():
         grams = Grams()
-        return lambda t: (grams(t).tolist(),)
-
-    rows = map_texts(training_rows(docs, labels, label, use, sample), "text", ["doc_id", "y"], "x array<int>", start).orderBy("doc_id").collect()
-    return fit_rows([np.array(r["x"], dtype=np.int32) for r in rows], np.array([r["y"] for r in rows], dtype=np.int64))
+        return lambda t: (grams(t).tobytes(),)
+
+    made = stored(map_texts(training_rows(docs, labels, label, use, sample), "text", ["doc_id", "y"], "x binary", start).withColumn("h", F.xxhash64("doc_id")), "quality-grams")
+    sizes = sorted(made.select("h", "doc_id", F.length("x")).collect())
+    fit_in = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), most_bytes, "right"))
+    if fit_in < len(sizes):
+        made = made.filter(F.struct("h", "doc_id") < F.struct(F.lit(sizes[fit_in][0]), F.lit(sizes[fit_in][1])))
+    rows = sorted(made.collect(), key=lambda r: r["doc_id"])  # few enough to be sorted here; orderBy() would run the Python function twice
+    return fit_rows([np.frombuffer(r["x"], dtype=np.int32) for r in rows], np.array([r["y"] for r in rows], dtype=np.int64))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
