@@ -88,11 +88,32 @@ def spans_text(found: Column) -> Column:
     return F.array_join(F.transform(by_start, lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"])), ",")
 
 
+#: Characters of text that a Python worker turns into objects at once; a longer text goes alone.
+SLICE_CHARS = 4_000_000
+
+
+def slices(batch, column: int, most: int = SLICE_CHARS):
+    """An Arrow batch in slices of consecutive rows with at most so many bytes (strings) or elements (lists) in a column, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+    import pyarrow.types as pt
+
+    own = batch.column(column)
+    size = pc.list_value_length if pt.is_list(own.type) or pt.is_large_list(own.type) else pc.binary_length
+    ends = np.cumsum(pc.fill_null(size(own), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) -> DataFrame:
     """The columns keep of df, untouched, and the fields that a Python function makes of each text.
 
     start() is called once for each partition and returns the function from a text (or None) to a
-    tuple of the fields. Arrow batches pass between Spark and Python; a partition isn't held whole.
+    tuple of the fields. Arrow batches pass between Spark and Python and are worked on in slices of
+    bounded size; a partition isn't held whole.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,10 +126,12 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
 
     def run(batches):
         one = start()
-        for batch in batches:
-            rows = [one(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
+        for whole in batches:
+            at = whole.schema.get_field_index
+            for batch in slices(whole, at(text)):
+                rows = [one(t.as_py()) for t in batch.column(at(text))]
+                columns = [batch.column(at(c)) for c in keep]
+                columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
 
     return kept.mapInArrow(run, out)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, pinned, stored, table
+from .common import map_texts, pinned, slices, stored, table
 
 UNIVERSE, COORDINATES, ROWS_PER_BAND = 1 << 18, 256, 4
 #: Leaders that a node is verified against before its buckets are looked at in full.
@@ -32,8 +33,13 @@ LEADERS = 2
 SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 500_000
 _U = np.uint64
 
+#: Bytes of text whose words are hashed at once, and places of characters in a table of powers.
+CHUNK_BYTES, POWERS = 1 << 20, 1 << 12
+#: Parts that the rows of one key are dealt to where a join would gather them in one task.
+SALTS = 64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_POWERS = [np.ones(1, _U)]
 
 
 def bands_for(percent: int, missed: float = 1e-6) -> int:
@@ -53,31 +59,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        grown = np.full(2 * n, 0x9E3779B97F4A7C15, _U)
-        grown[0] = 1
-        _POWERS[0] = np.multiply.accumulate(grown)
-    return _POWERS[0]
+def _powers(n: int, by: int) -> np.ndarray:
+    grown = np.full(max(1, n), by, _U)
+    grown[0] = 1
+    return np.multiply.accumulate(grown)
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of size words, or of the one shorter sequence."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    if not b.size:
-        return np.zeros(0, _U)
+_LOW = _powers(POWERS + 1, 0x9E3779B97F4A7C15)
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of a part of a text that cuts none."""
+    b = np.frombuffer(raw, np.uint8)
     b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
     solid = (b != 32) & ((b < 9) | (b > 13))
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
     at = np.flatnonzero(solid)
     if not at.size:
         return np.zeros(0, _U)
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
     begins = np.flatnonzero(first[at])
     lengths = np.diff(np.append(begins, at.size))
     offset = np.arange(at.size) - np.repeat(begins, lengths)
-    values = (b[at].astype(_U) + _U(1)) * _powers(int(lengths.max()))[offset]
-    words = _mix(np.add.reduceat(values, begins) + lengths.astype(_U))
+    values = (b[at].astype(_U) + _U(1)) * _LOW[offset % POWERS]
+    if lengths.max() > POWERS:  # the power of a place is that of its block times that within it
+        values *= _powers(int(lengths.max()) // POWERS + 1, int(_LOW[POWERS]))[offset // POWERS]
+    return _mix(np.add.reduceat(values, begins) + lengths.astype(_U))
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of size words, or of the one shorter sequence. Long texts are read in chunks."""
+    raw, parts, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + CHUNK_BYTES)
+        stop = cut.end() if cut else len(raw)
+        parts.append(_word_hashes(raw[at:stop]))
+        at = stop
+    words = np.concatenate(parts) if parts else np.zeros(0, _U)
+    if not words.size:
+        return words
     n = min(size, len(words))
     total = np.zeros(len(words) - n + 1, _U)
     for j in range(n):
@@ -128,23 +148,36 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _salted(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row or few for each key, on key, where the rows of a key may be very many.
+
+    They are dealt to SALTS parts by a hash of the column by; one is copied only to the parts that a key has.
+    """
+    many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    # a distinct on each side of the shuffle leaves a row for each part of a key
+    copies = many.select(key, "_salt").distinct().join(one, key)
+    return many.join(copies.select(*[F.col(c).alias(c) for c in copies.columns]), [key, "_salt"], how).drop("_salt")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids that link on their full sets."""
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) of ids that link on their full sets. One a, or b, may have many partners."""
+    with_b = _salted(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a")
+    both = _salted(with_b, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         import pyarrow as pa
 
         last, own = None, None
-        for batch in batches:
-            good = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if s != last:
-                    last, own = s, shingles(s, size)
-                good.append(_linked(own, shingles(t, size), percent))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+        for whole in batches:
+            for batch in slices(whole, 2):
+                good = []
+                for s, t in zip(batch.column(2), batch.column(3), strict=True):
+                    s = s.as_py()
+                    if s != last:
+                        last, own = s, shingles(s, size)
+                    good.append(_linked(own, shingles(t.as_py(), size), percent))
+                kept = batch.filter(pa.array(good, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -210,10 +243,10 @@ def components(edges: DataFrame) -> DataFrame:
     ends = pinned(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = pinned(ends.groupBy(F.col("u").alias("id")).agg(F.least("id", F.min("v")).alias("label")))
     while True:
-        near = ends.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = _salted(ends, labels.select(F.col("id").alias("v"), "label"), "v", "u").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        step = pinned(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        step = pinned(step.join(jump, "label").select("id", "old", F.col("far").alias("label")))
+        step = pinned(_salted(step, jump, "label", "id").select("id", "old", F.col("far").alias("label")))
         if step.filter(F.col("old") != F.col("label")).isEmpty():
             return step.select("id", "label")
         labels = step.select("id", "label")
@@ -250,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     entries = groups.select("id", F.explode("bands").alias("key"))
     leader = F.min(F.col("id").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key"))
     leaders = entries.groupBy("key").agg(leader.alias("leader"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    shared = stored(entries.join(leaders.select("key", "leader"), "key"), "neardup-buckets")
+    shared = stored(entries.join(leaders.select("key", "leader"), "key"), "neardup-buckets")  # nothing follows the join, so a hot bucket may be split
     stars = shared.filter(F.col("id") != F.col("leader")).select("id", "leader").distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
     seen = stars.join(x, F.col("x.id") == stars["id"]).join(y, F.col("y.id") == stars["leader"]).filter(_alike("x", "y", percent))
@@ -272,7 +305,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("key")
     rest = named.join(open_, "key")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    rest = rest.join(sizes, "label", "left").select("id", "key", "label", F.coalesce("members", F.lit(1)).alias("members"))
+    rest = _salted(rest, sizes, "label", "id", "left").select("id", "key", "label", F.coalesce("members", F.lit(1)).alias("members"))
     rest = stored(rest.join(nodes, "id"), "neardup-open")
     # nodes that share a bucket with a large component are its pool; they are compared in blocks with it and each other
     large = F.max(F.when(F.col("members") > SMALL, F.struct("members", "label")))
