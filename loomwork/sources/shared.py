@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or the folder set for checkpoints. A local session without either gets one of its own."""
     sc = spark.sparkContext
-    if not path and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-"))
-    return path or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        return path
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-"))
+    return sc.getCheckpointDir()
 
 
 def pinned(df: DataFrame) -> DataFrame:

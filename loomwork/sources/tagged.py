@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 TAG = "_t"
 
 
+def whole_json(text: Column) -> Column:
+    """The text where it is one JSON value to its end, else null.
+
+    The parser of variants stops after a first value. Inside an array and inside an object whatever
+    follows the value breaks one of the two.
+    """
+    listed, named = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"a":'), text, F.lit("}"))
+    return F.when(F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull(), text)
+
+
 def write_lines(parts: dict[str, DataFrame]) -> DataFrame:
     """One column value of JSON lines, with ord and tag: the parts in the given order."""
     out = None
@@ -19,7 +29,7 @@ def write_lines(parts: dict[str, DataFrame]) -> DataFrame:
 
 def read_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """value with tag: null for blank, broken and untagged lines."""
-    return lines.withColumn("tag", F.when(F.try_parse_json(value).isNotNull(), F.get_json_object(value, f"$.{TAG}")))
+    return lines.withColumn("tag", F.when(whole_json(F.col(value)).isNotNull(), F.get_json_object(value, f"$.{TAG}")))
 
 
 def rows_of(tagged: DataFrame, tag: str, schema: str, value: str = "value") -> DataFrame:
@@ -32,7 +42,15 @@ def skipped(tagged: DataFrame, value: str = "value") -> DataFrame:
 
 
 def first_json(text: Column, most: int = 200) -> Column:
-    """The first parseable JSON object or array inside noisy text, trying `most` opening brackets at most."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)).isin("{", "["))
-    tried = F.transform(F.slice(starts, 1, most), lambda i: F.substring(text, i, F.length(text)))
-    return F.get(F.filter(tried, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0))
+    """The JSON object or array that noisy text ends with: the longest that is one, trying `most` opening brackets at most."""
+    gaps = F.split(text, r"[{\[]", -1)
+    starts = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))), 1, most), lambda n: F.length(F.array_join(F.slice(gaps, 1, n), " ")) + 1)
+    tried = F.transform(starts, lambda i: whole_json(F.substring(text, i, F.length(text))))
+    return F.get(F.filter(tried, lambda t: t.isNotNull()), F.lit(0))
+
+
+def line_contract(text: Column, field: str = "summary") -> Column:
+    """The single line of JSON that a stage must print: text of exactly one line that isn't blank, an object whose field is an object; else null."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
+    one = whole_json(F.trim(F.get(lines, F.lit(0))))
+    return F.when((F.size(lines) == 1) & F.startswith(F.schema_of_variant(F.try_variant_get(F.try_parse_json(one), f"$.{field}", "variant")), F.lit("OBJECT")), one)
