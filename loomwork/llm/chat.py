@@ -2,7 +2,7 @@
 
 A layout is known by the hash of its sorted nested field paths. For tables the paths come from the
 schema; for JSON records from each record's own variant schema, so that one column may mix prompt
-pairs, instructions and message lists. Each known fingerprint has a mapping, a Column expression that
+pairs, instructions and message lists. Both are hashed by the same function. Each known fingerprint has a mapping, a Column expression that
 yields array<struct<role,text>>; records of unknown layout give no turns and are returned as such.
 
 The template writes <|im_start|>role, a line feed, the text and <|im_end|> with a line feed. A
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tagged import whole_json
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -40,27 +41,17 @@ def unescaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    """A role is one line: backslashes are doubled, line feeds written as backslash n."""
-    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """A role is one line: a backslash is written as backslash b, a line feed as backslash n, so that each backslash has a b or n behind it."""
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescaped_role(role: Column) -> Column:
-    slashes = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(slashes, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 # Fingerprints and mappings
 
 
-def field_paths(schema: T.DataType, at: str = "") -> list[str]:
-    """The nested field paths of a type; [] stands for the elements of an array."""
-    if isinstance(schema, T.StructType):
-        return sorted(p for f in schema for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
-    if isinstance(schema, T.ArrayType):
-        return field_paths(schema.elementType, f"{at}[]")
-    return [at]
-
-
 def record_shape(record: Column) -> Column:
     """The nested field paths of one JSON record, natively: its variant schema without scalar types."""
     shape = F.schema_of_variant(F.try_parse_json(record))
@@ -115,22 +106,38 @@ MAPPINGS: dict[str, Callable[[Column], Column]] = {
     "ARRAY<OBJECT<content, role>>": _listed("$", "role", "content"),
     "OBJECT<conversations: ARRAY<OBJECT<from, value>>>": _listed("$.conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
 }
-#: Field paths of a table of turns: the column of each canonical field.
-TABLES: dict[tuple[str, ...], dict[str, str]] = {
-    ("conv_id", "role", "text", "turn"): {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
-    ("content", "conversation_id", "index", "role"): {"conv_id": "conversation_id", "turn": "index", "role": "role", "text": "content"},
+#: Shape of a table of turns, in the same form, and the column of each canonical field.
+TABLES: dict[str, dict[str, str]] = {
+    "OBJECT<conv_id, role, text, turn>": {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
+    "OBJECT<content, conversation_id, index, role>": {"conv_id": "conversation_id", "turn": "index", "role": "role", "text": "content"},
 }
 
 
+def table_shape(schema: T.StructType, fields: set[str]) -> str:
+    """The nested field paths of a schema's columns among fields, as record_shape() writes those of a record."""
+
+    def shape(t: T.DataType) -> str:
+        if isinstance(t, T.StructType):
+            inner = ((f.name, shape(f.dataType)) for f in sorted(t, key=lambda f: f.name))
+            return "OBJECT<" + ", ".join(f"{n}: {s}" if s else n for n, s in inner) + ">"
+        return f"ARRAY<{shape(t.elementType)}>" if isinstance(t, T.ArrayType) else ""
+
+    return shape(T.StructType([f for f in schema if f.name in fields]))
+
+
+def _known(spark: SparkSession, shapes) -> dict[str, int]:
+    """Fingerprints of the shapes of the mappings, a fixed few."""
+    return {r["shape"]: r["fp"] for r in spark.createDataFrame([(s,) for s in shapes], "shape string").select("shape", fingerprint(F.col("shape")).alias("fp")).collect()}
+
+
 def record_turns(records: DataFrame, key: str, record: str) -> DataFrame:
     """(conv_id, turn, role, text) of JSON records of mixed layouts.
 
-    Null or broken JSON, and layouts without a mapping, give one row with null turn, role and text,
+    Null or broken JSON, text behind a record, and layouts without a mapping, give one row with null turn, role and text,
     so that no record is lost unseen.
     """
-    spark = records.sparkSession
-    known = {r["shape"]: r["fp"] for r in spark.createDataFrame([(s,) for s in MAPPINGS], "shape string").select("shape", fingerprint(F.col("shape")).alias("fp")).collect()}
-    parsed = records.select(F.col(key).alias("conv_id"), F.try_parse_json(record).alias("v"), fingerprint(record_shape(F.col(record))).alias("fp"))
+    known = _known(records.sparkSession, MAPPINGS)
+    parsed = records.select(F.col(key).alias("conv_id"), whole_json(F.col(record)).alias("record")).select("conv_id", F.try_parse_json("record").alias("v"), fingerprint(record_shape(F.col("record"))).alias("fp"))
     turns = F.lit(None).cast(_TURNS)
     for shape, mapping in MAPPINGS.items():
         turns = F.when(F.col("fp") == known[shape], mapping(F.col("v")).cast(_TURNS)).otherwise(turns)
@@ -138,12 +145,21 @@ def record_turns(records: DataFrame, key: str, record: str) -> DataFrame:
 
 
 def table_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table of turns whose field paths are known; further columns are ignored."""
-    have = set(field_paths(rows.schema))
-    for paths, names in TABLES.items():
-        if have.issuperset(paths):
+    """(conv_id, turn, role, text) of a table of turns: the fingerprint of its schema's paths selects the mapping; columns that no layout names are ignored.
+
+    A table that has the fields of a layout and some that another one names is known by those of the
+    first layout in order whose fingerprint is found.
+    """
+    every = {f for names in TABLES.values() for f in names.values()}
+    views = [every, *(set(names.values()) for names in TABLES.values())]
+    shapes = list(dict.fromkeys([*TABLES, *(table_shape(rows.schema, v) for v in views)]))
+    hashes = _known(rows.sparkSession, shapes)
+    mappings = {hashes[shape]: names for shape, names in TABLES.items()}
+    for view in views:
+        names = mappings.get(hashes[table_shape(rows.schema, view)])
+        if names:
             return rows.select(*[F.col(src).alias(to) for to, src in names.items()])
-    raise ValueError(f"no mapping for a table with the fields {sorted(have)}")
+    raise ValueError(f"no mapping for a table with the fields {sorted(rows.columns)}")
 
 
 # Formatting and reading back
@@ -154,32 +170,38 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
 
     Turns go by turn, then role and text; nulls first. A null role or text is empty. Repeated rows
     stay. A null conv_id is a conversation of its own. Turns are joined in chunks of CHUNK turn
-    numbers before chunks are joined, so that a long conversation isn't gathered turn by turn.
+    numbers before chunks are joined, and places are counted in each chunk first, so that a long
+    conversation costs in proportion to its length.
     """
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    head = F.concat(F.lit(START), escaped_role(role), F.lit("\n"))
-    piece = F.concat(head, escaped(text), F.lit(f"{END}\n"))
-    one = turns.select(
-        "conv_id", "turn", role.alias("role"), piece.alias("piece"), F.length(piece).cast("long").alias("n"), F.length(head).cast("long").alias("lead"), F.floor(F.col("turn") / CHUNK).alias("chunk")
-    )
+    one = turns.select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+
+    def written(t: Column) -> Column:
+        head = F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
+        body = F.concat(escaped(t["text"]), F.lit(f"{END}\n"))
+        return F.struct(t["role"].alias("role"), F.concat(head, body).alias("piece"), (F.length(head) + F.length(body)).cast("long").alias("n"), F.length(head).cast("long").alias("lead"))
 
     def joined(items: Column) -> Column:
         return F.array_join(F.transform(items, lambda t: t["piece"]), "")
 
-    first = F.array_sort(F.collect_list(F.struct("turn", "role", "piece", "n", "lead")))
-    chunks = one.groupBy("conv_id", "chunk").agg(first.alias("t"))
-    learned = F.transform("t", lambda t: F.struct(t["n"].alias("n"), t["lead"].alias("lead"), t["role"].isin(*learn).alias("on")))
-    chunks = chunks.select("conv_id", F.struct("chunk", joined(F.col("t")).alias("piece"), learned.alias("lens")).alias("c"))
-    whole = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    lens = F.flatten(F.transform("c", lambda c: c["lens"]))
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-
-    def step(acc: Column, t: Column) -> Column:
-        found = F.struct((acc["at"] + t["lead"]).alias("start"), (t["n"] - t["lead"] - len(END) - 1).alias("length"))
-        return F.struct((acc["at"] + t["n"]).alias("at"), F.when(t["on"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
-
-    loss = F.aggregate(lens, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return whole.select("conv_id", joined(F.col("c")).alias("formatted"), loss.alias("loss"))
+    def placed(items: Column, starts, length) -> Column:
+        """Struct of the items' length in all, and their learned places, moved by the length of what stands before each."""
+        empty = F.array().cast("array<array<struct<start:bigint,length:bigint>>>")
+        zero = F.struct(F.lit(0).cast("long").alias("n"), empty.alias("loss"))
+        step = lambda acc, t: F.struct((acc["n"] + length(t)).alias("n"), F.concat(acc["loss"], F.array(F.transform(starts(t), lambda s: F.struct((s["start"] + acc["n"]).alias("start"), s["length"].alias("length"))))).alias("loss"))
+        return F.aggregate(items, zero, step, lambda acc: F.struct(acc["n"].alias("n"), F.flatten(acc["loss"]).alias("loss")))
+
+    def learned(t: Column) -> Column:
+        own = F.array(F.struct(t["lead"].alias("start"), (t["n"] - t["lead"] - len(END) - 1).alias("length")))
+        return F.when(t["role"].isin(*learn), own).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>"))
+
+    chunks = one.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", "chunk", F.transform("t", written).alias("t"))
+    # turns of one number are one chunk, however many: they are counted in slices as well
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / CHUNK).cast("int")), lambda k: placed(F.slice("t", k * CHUNK + 1, CHUNK), learned, lambda t: t["n"]))
+    whole = lambda items: placed(items, lambda c: c["loss"], lambda c: c["n"])
+    chunks = chunks.select("conv_id", F.struct("chunk", joined(F.col("t")).alias("piece"), whole(slices).alias("p")).alias("c"))
+    convs = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    loss = whole(F.transform("c", lambda c: c["p"]))["loss"]
+    return convs.select("conv_id", joined(F.col("c")).alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
