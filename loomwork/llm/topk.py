@@ -1,11 +1,16 @@
-"""Exact top-k search by inner product: one KD-tree per shard, searched best-first.
-
-Vectors are dealt to shards by row, each small enough for one task. A shard's tree splits at the
-median of its widest component and keeps the tight box of every node; the most that a query can
-score in a box is the sum of the larger product at each component's two ends. Nodes are visited in
-the order of that bound until it falls below the query's kth score so far. Each query is searched
-in its own shard first; the kth score found there is passed on to the search of all others, which
-goes by (shard, block of queries), so that no task holds more than one shard and one block.
+"""Exact top-k search by inner product: KD-trees per shard, searched best-first.
+
+A coarse tree of median splits, fitted to a bounded sample, cuts the space into cells; each vector
+falls into one, and the cells' tight boxes, over all vectors, are the only thing that the driver
+holds. A cell of many vectors is dealt to several shards, each small enough for one task, with a
+KD-tree of its own: its splits are at the median of the widest component and each node keeps the
+tight box of its points. The most that a query can score in a box is the sum of the larger product
+at each component's two ends. Nodes are visited in the order of that bound until it falls below the
+query's kth score so far.
+
+Queries go in three waves: to their own cell, then to the few cells of the largest bounds, then to
+all the others whose bound still reaches the kth score known by then. A task holds one shard and one
+block of queries from one cell, never more.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 4_096, 128
+#: Vectors in a cell on average, and cells at most; vectors and queries in a task; rows of a leaf.
+CELL_ROWS, CELLS, SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 1_024, 32_768, 4_096, 128
+#: Numbers that the coarse tree is fitted on, and that the boxes hold, at most.
+SAMPLE_NUMBERS, BOX_NUMBERS = 2_000_000, 500_000
+#: Cells that a query asks in the second wave.
+NEAR = 8
 _LONG = 2**63 - 1
 
 
@@ -120,6 +131,114 @@ def _searcher(k: int):
 _FOUND = "query_id long, quid long, vec_id long, uid long, score long"
 
 
+class Cells:
+    """Coarse trees by dimension: cell numbers of vectors, from 0; a dimension without a tree is one cell."""
+
+    def __init__(self, sample: dict[int, np.ndarray], cells: int) -> None:
+        total = sum(map(len, sample.values()))
+        self.trees: dict[int, list] = {}
+        self.size: dict[int, int] = {}
+        for dim, points in sample.items():
+            self.size[dim] = 0
+            self.trees[dim] = self._split(dim, points, max(1, round(cells * len(points) / total)))
+
+    def _split(self, dim: int, points: np.ndarray, cells: int) -> list:
+        wide = points.max(axis=0) - points.min(axis=0) if points.size else np.zeros(0)
+        if cells > 1 and wide.size and wide.max() > 0:
+            axis = int(wide.argmax())
+            at = float(np.median(points[:, axis]))
+            left = points[:, axis] < at
+            if not left.any():
+                at = float(np.nextafter(points[:, axis].min(), np.inf))
+                left = points[:, axis] < at
+            return [axis, at, self._split(dim, points[left], cells // 2), self._split(dim, points[~left], cells - cells // 2)]
+        self.size[dim] += 1
+        return [self.size[dim] - 1]
+
+    def of(self, dim: int, points: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), np.int32)
+        todo = [(self.trees[dim], np.arange(len(points)))] if dim in self.trees else []
+        while todo:
+            node, rows = todo.pop()
+            if len(node) == 1:
+                out[rows] = node[0]
+            elif len(rows):
+                left = points[rows, node[0]] < node[1]
+                todo += [(node[2], rows[left]), (node[3], rows[~left])]
+        return out
+
+
+def _by_dim(v: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each dimension in a batch, the rows that have it, and their vectors in float64."""
+    dims = v.map(len).to_numpy()
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        yield dim, rows, np.stack(v.iloc[rows].to_numpy()).astype(np.float64)
+
+
+def _fitted(rows: DataFrame, n: int, cell_rows: int) -> Cells:
+    """From a random sample of SAMPLE_NUMBERS components; the result of the search doesn't depend on it."""
+    widest = rows.agg(F.max("dim")).first()[0] or 1
+    cells = max(1, min(CELLS, math.ceil(n / cell_rows), BOX_NUMBERS // (2 * widest)))
+    if cells == 1:
+        return Cells({}, 1)
+    most = max(1, SAMPLE_NUMBERS // widest)
+    sample = rows.select("v").filter(F.xxhash64("uid", F.lit(11)) < int(2**64 * min(1.0, most / n) - 2**63)) if n > most else rows.select("v")
+    got = sample.limit(2 * most).toPandas()
+    return Cells({dim: points for dim, _, points in _by_dim(got["v"])}, cells)
+
+
+def _celled(rows: DataFrame, cells: Cells) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        for batch in batches:
+            cell = np.zeros(len(batch), np.int32)
+            for dim, at, points in _by_dim(batch["v"]):
+                cell[at] = sent.value.of(dim, points)
+            yield batch.assign(cell=cell)
+
+    return rows.mapInPandas(run, "vec_id long, v array<bigint>, dim int, uid long, asks boolean, cell int")
+
+
+def _boxes(rows: DataFrame, cells: Cells) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By dimension with a tree: the cells that hold vectors, and the least and the largest of each component there."""
+    known = rows.filter(F.col("dim").isin(*cells.trees)) if cells.trees else rows.limit(0)
+    ends = known.select("dim", "cell", F.posexplode("v").alias("i", "x")).groupBy("dim", "cell", "i").agg(F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
+    out = {}
+    for dim, part in ends.sort_values(["cell", "i"]).groupby("dim"):
+        out[int(dim)] = part["cell"].to_numpy()[:: int(dim)], part["low"].to_numpy(np.float64).reshape(-1, int(dim)), part["high"].to_numpy(np.float64).reshape(-1, int(dim))
+    return out
+
+
+def _asked(asking: DataFrame, boxes: dict, first: int, last: int | None) -> DataFrame:
+    """A row of a query for each cell other than its own whose bound reaches the query's kth (in decimal), of those from place first to last in the order of bounds."""
+    sent = asking.sparkSession.sparkContext.broadcast(boxes)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.iloc[at : at + 256]
+                for dim, rows, q in _by_dim(batch["v"]):
+                    if dim not in sent.value:
+                        continue
+                    names, low, high = sent.value[dim]
+                    most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    # what float64 may have lost
+                    most += 1 + 1e-12 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T)
+                    own = batch.iloc[rows]
+                    most[names[None, :] == own["cell"].to_numpy()[:, None]] = -np.inf
+                    place = (-most).argsort(axis=1, kind="stable").argsort(axis=1)
+                    kth = np.array([-np.inf if x is None else float(x) for x in own["kth"]])
+                    wanted = (most >= kth[:, None]) & (place >= first) & (most > -np.inf)
+                    if last is not None:
+                        wanted &= place < last
+                    n, c = np.nonzero(wanted)
+                    yield own.iloc[n].assign(to_cell=names[c].astype(np.int32))
+
+    return asking.mapInPandas(run, "vec_id long, v array<bigint>, dim int, uid long, cell int, block int, kth string, to_cell int")
+
+
 def quantised(embedding: Column) -> Column:
     """floor(256 * x) of each component; null for null vectors and those with null or non-finite components."""
     x = F.transform(embedding, lambda e: e.cast("double"))
@@ -127,7 +246,7 @@ def quantised(embedding: Column) -> Column:
     return F.when(~F.coalesce(odd, F.lit(True)), F.transform(x, lambda e: F.floor(e * 256)))
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors where queries holds, the k best of all other rows.
 
     vectors: vec_id and v, an array<bigint>. Rows with a null id or vector take no part. Only vectors
@@ -136,22 +255,35 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = SHA
     """
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("uid"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = stored(rows, "topk-vectors")
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
-    asking = rows.filter("asks").withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int")).drop("asks")
-    home = rows.groupBy("dim", "shard").cogroup(asking.withColumn("kth", F.lit(None).cast("long")).groupBy("dim", "shard")).applyInPandas(_searcher(k), _FOUND)
-    best = home
-    if shards > 1:
-        home = stored(home, "topk-home")
-        kth = home.groupBy(F.col("quid").alias("uid")).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
-        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
-        spread = asking.withColumnRenamed("shard", "home").join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "kth", "block", others.alias("shard"))
-        copied = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        # both come from one table; new names keep their columns apart
-        copied, spread = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (copied, spread))
-        away = copied.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInPandas(_searcher(k), _FOUND)
-        best = home.unionByName(away)
+    cells = _fitted(rows, rows.count(), cell_rows)
+    rows = stored(_celled(rows, cells), "topk-cells")
+    # a row for each cell, of which there are few
+    sizes = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.count_if("asks") / block_rows).cast("int")).alias("blocks"))
+    sizes = F.broadcast(sizes)
+    deal = lambda n, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(n)).cast("int")
+    points = rows.join(sizes, ["dim", "cell"]).select("dim", "cell", deal("shards", 0).alias("shard"), "vec_id", "v", "uid")
+    asking = rows.filter("asks").join(sizes, ["dim", "cell"]).select("vec_id", "v", "dim", "uid", "cell", deal("blocks", 1).alias("block"))
+
+    def wave(asked: DataFrame) -> DataFrame:
+        """asked: queries, each with to_cell and kth. A block is of queries from one cell, which are alike."""
+        every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+        spread = asked.join(sizes.select("dim", F.col("cell").alias("to_cell"), "shards"), ["dim", "to_cell"]).select("dim", "to_cell", "cell", "block", "vec_id", "v", "uid", "kth", every)
+        tasks = spread.select("dim", "to_cell", "shard", "cell", "block").distinct()
+        moved = points.select("dim", F.col("cell").alias("to_cell"), "shard", F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("uid").alias("uid"))
+        moved = moved.join(tasks, ["dim", "to_cell", "shard"])
+        by = ["dim", "to_cell", "shard", "cell", "block"]
+        left, right = (d.select(*[F.col(c).alias(c) for c in (*by, *more)]) for d, more in ((moved, ("vec_id", "v", "uid")), (spread, ("vec_id", "v", "uid", "kth"))))
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searcher(k), _FOUND)
+
+    found = [stored(wave(asking.withColumn("kth", F.lit(None).cast("string")).withColumn("to_cell", F.col("cell"))), "topk-home")]
+    boxes = _boxes(rows, cells)
+    if any(len(names) > 1 for names, _, _ in boxes.values()):
+        for first, last in ((0, NEAR), (NEAR, None)):
+            so_far = reduce(DataFrame.unionByName, found).groupBy(F.col("quid").alias("uid")).agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
+            kth = so_far.select("uid", F.when(F.size("s") == k, F.get("s", F.lit(k - 1)).cast("string")).alias("kth"))
+            known = asking.join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "cell", "block", "kth")
+            found.append(stored(wave(_asked(known, boxes, first, last)), "topk-wave"))
+    best = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -171,13 +171,13 @@ def _top(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows", [1000, 40])
-def test_top_k_matches_plain_version(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "cell_rows"), [(1000, 1000), (40, 1000), (1000, 6), (9, 20)])
+def test_top_k_matches_plain_version(spark, shard_rows, cell_rows):
     rng = random.Random(2)
     rows = [(n, [rng.randrange(-300, 300) for _ in range(6)]) for n in range(160)]
     rows += [(200 + n, [100] * 6) for n in range(30)] + [(50, rows[50][1]), (None, [1] * 6), (300, None), (400, [5, 5]), (350, [7, -7]), (450, [9])]
     df = spark.createDataFrame(rows, "vec_id long, v array<bigint>").withColumn("score", F.lit("clash"))
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard_rows, block_rows=3).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, cell_rows=cell_rows, shard_rows=shard_rows, block_rows=3).collect())
     assert got == _top(rows, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
