@@ -22,14 +22,14 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set for checkpoints. A local session without either gets one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-"))
-    return sc.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,10 +56,17 @@ def parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
 
 
+#: Parts whose matches are gathered in one step before a text's are put together.
+BLOCK = 512
+
+
 def matches(cut: Column, keep) -> Column:
-    """array<struct<start,end,value>> of the matches in parts(), in code points, for which keep(value) holds."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("out"))
+    """array<struct<start,end,value>> of the matches in parts(), in code points, for which keep(value) holds.
+
+    The fold goes by blocks, so that a text of very many matches isn't copied once for each of them.
+    """
+    kind = "array<struct<start:int,end:int,value:string>>"
+    none = F.array().cast(kind)
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
@@ -68,8 +75,33 @@ def matches(cut: Column, keep) -> Column:
         out = F.when(hit, F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
         return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), out.alias("out"))
 
+    def block(acc: Column, k: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("i"), acc["at"].alias("at"), none.alias("out"))
+        own = F.aggregate(F.slice(cut, k * BLOCK + 1, BLOCK), zero, step)
+        return F.aggregate(F.array(own), acc, lambda a, o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / BLOCK).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
     # a text without a match, the common case, skips the fold
-    return F.when(F.size(cut) < 2, none).otherwise(F.aggregate(cut, zero, step, lambda acc: acc["out"]))
+    return F.when(F.size(cut) < 2, none).otherwise(F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"])))
+
+
+def replaced(text: Column, found: Column, by) -> Column:
+    """The text with each span of found, sorted by start, replaced by by(span); of spans that overlap, the first one's text fills the hole."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        hole = F.when(s["start"] >= acc["at"], by(s)).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, hole).alias("out"))
+
+    def block(acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(found, k * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), F.lit("").alias("out")), step)
+        return F.aggregate(F.array(own), acc, lambda a, o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(blocks, start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
 def labelled(found: Column, kind: str, order: int) -> Column:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, matches, parts, spans_text, table
+from .common import labelled, matches, parts, replaced, spans_text, table
 
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]++"
@@ -30,20 +30,43 @@ _K = len(_ALPHABET)
 _PLACE = [_ALPHABET.find(chr(i)) if chr(i) in _ALPHABET else 0 for i in range(128)]
 
 
+#: Of these words ordinary identifiers are made, by the rules of training_samples().
+WORDS = """
+    access account action address agent amount anchor append area array async attribute backup base binary block body
+    branch bridge build byte callback cancel category channel check class client code color column commit compare
+    connect constant content context control copy count current cursor data date debug default delete device directory
+    document domain download edge element encode engine entry error event execute export field file final find flag
+    format frame gateway global group handle header history host identifier image index input insert integer internal
+    job journal label language layer length level limit link loader local lock manager mapping memory message model
+    module monitor network node number object option order output package page parent parser path pattern payload
+    pixel platform policy pool prefix process profile property protocol proxy query random range record remote render
+    report request response result retry role route rule runtime schema scope screen section segment server service
+    setting shape shared size socket stack start status storage stream style submit support switch system table target
+    template test thread timeout tooltip total trace transaction transform trigger type update upload user validate
+    value version view volume watch weight width window wrapper write
+""".split()
+
+
 def training_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(label, token): 1 for random strings in the usual encodings, 0 for ordinary identifiers.
+    """(label, token): 1 for random strings in the usual encodings, 0 for ordinary identifiers; n of each kind of either, the same in every session.
 
     Random strings are digests of 0..n-1 in base64, url-safe base64, hexadecimal and letters with digits. Ordinary
-    ones are the names of Spark's own functions and settings, alone, in camel and upper case, and in runs of two.
+    ones join two to four words, with a number at times, in the usual ways: with _ - / or nothing between, in camel,
+    lower and upper case; runs of one character and of decimal digits are ordinary too.
     """
     ids = spark.range(n).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512).alias("h"), "id")
     b64 = F.regexp_replace(F.base64(F.unhex("h")), r"\s", "")
     coded = F.when(F.col("id") % 4 == 0, F.substring("h", 1, 40)).when(F.col("id") % 4 == 1, b64).when(F.col("id") % 4 == 2, F.translate(b64, "+/=", "-_")).otherwise(F.upper(F.regexp_replace(b64, "[+/=]", "")))
     random = ids.select(F.lit(1).alias("label"), coded.alias("token"))
-    names = spark.sql("SHOW FUNCTIONS").select(F.col("function").alias("name")).union(spark.sql("SET -v").select(F.translate("key", ".", "_").alias("name")))
-    names = names.select(F.regexp_extract("name", r"^[A-Za-z0-9_]+$", 0).alias("name")).filter(F.length("name") > 3)
-    camel = F.regexp_replace(F.initcap(F.translate("name", "_", " ")), " ", "")
-    ordinary = names.select(F.explode(F.array("name", F.upper("name"), camel, F.concat("name", F.lit("-"), "name"), F.concat("name", F.lit("/"), F.lower(camel)), F.regexp_replace(F.lower(camel), "[^a-z]", ""))).alias("token"))
+    words = F.array(*[F.lit(w) for w in WORDS])
+    pick = lambda k: F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
+    some = F.slice(F.array(*[pick(k) for k in range(4)]), F.lit(1), (F.col("id") % 3 + 2).cast("int"))
+    number = F.when(F.col("id") % 5 == 0, (F.col("id") % 100).cast("string")).otherwise("")
+    camel = F.array_join(F.transform(some, F.initcap), "")
+    forms = F.array(*[F.concat(F.array_join(some, by), number) for by in ("_", "-", "/", "")], *[F.upper(F.array_join(some, by)) for by in ("-", "/", "")], camel, F.concat(F.substring(F.array_join(some, ""), 1, 1), F.substring(camel, F.lit(2), F.length(camel))), F.concat(F.upper(F.array_join(some, "_")), number))
+    letter = F.substring(F.lit(_ALPHABET), (F.col("id") % _K + 1).cast("int"), F.lit(1))
+    plain = F.array(F.repeat(letter, F.lit(40)), F.regexp_replace(F.sha2(F.col("id").cast("string"), 512), "[a-f]", ""))
+    ordinary = spark.range(n).select(F.explode(F.concat(forms, plain)).alias("token"))
     return random.unionByName(ordinary.select(F.lit(0).alias("label"), "token"))
 
 
@@ -92,15 +115,7 @@ def find_secrets(docs: DataFrame, model: list[float], text: str = "text", thresh
 
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span replaced by <KIND>; of spans that overlap, the first names the hole."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        hole = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, hole).alias("out"))
-
-    whole = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(whole)
+    return replaced(text, found, lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Url rules, chat formatting, secrets and personal data against plain versions, with odd rows."""
 
+import base64
 import json
 import random
+import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import chat, common, pii, secrets, url_rules
@@ -47,6 +50,48 @@ def test_random_tokens_are_told_from_names(spark):
         assert len(r["secrets"]) == r["n"], r["text"]
 
 
+def test_random_tokens_are_found_and_ordinary_ones_left(spark):
+    """Planted tokens that no pattern finds, against ordinary ones of other words than the samples'."""
+    rng = random.Random(11)
+    signs = string.ascii_letters + string.digits
+    word = lambda: rng.choice("people country working together difficult conditions government department university production association understanding environment responsibility".split())
+    planted = [lambda: "".join(rng.choices(signs, k=rng.randrange(20, 50))), lambda: base64.b64encode(rng.randbytes(rng.randrange(16, 40))).decode(), lambda: base64.urlsafe_b64encode(rng.randbytes(24)).decode(), lambda: rng.randbytes(14).hex(), lambda: rng.randbytes(12).hex().upper()]
+    ordinary = [lambda: "_".join(word() for _ in range(3)), lambda: "".join(word().title() for _ in range(3)), lambda: "-".join(word() for _ in range(4)).upper(), lambda: "/".join(word() for _ in range(4)), lambda: "=" * rng.randrange(20, 70), lambda: str(rng.randrange(10**22, 10**25))]
+    rows = [(1, f"see {make()} here") for make in planted for _ in range(60)] + [(0, f"see {make()} here") for make in ordinary for _ in range(60)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "y int, text string"), secrets.fit(secrets.training_samples(spark))).select("y", (F.size("secrets") > 0).alias("hit")).collect()
+    share = lambda y: sum(r["hit"] for r in found if r["y"] == y) / sum(r["y"] == y for r in found)
+    assert share(1) >= 0.98 and share(0) <= 0.01
+
+
+def test_secrets_query_keeps_its_contract(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.op5_secrets(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(ODD_TEXTS):
+        want, r = brute.secrets(t), got[i]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[3] == k for s in want) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == brute.sha(brute.joined(want))
+        spans = [s for s in r["spans"].split(",") if s]
+        assert set(brute.joined(want).split(",")) - {""} == {s for s in spans if not s.startswith("markov")}
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+
+
+def test_personal_data_query_keeps_its_contract(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op6_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(ODD_TEXTS):
+        want, r = brute.pii(t), got[i]
+        assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[3] == k for s in want) for k in pii.KINDS[:4]]
+        assert r["base_sha256"] == brute.sha(brute.joined(want))
+        assert set(brute.joined(want).split(",")) - {""} == {s for s in r["spans"].split(",") if s and not s.startswith("term")}
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b.co" for i in range(3000))
+    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).withColumn("clean", pii.sanitised(F.col("text"), F.col("pii"))).first()
+    assert sorted((s["start"], s["ord"], s["end"], s["kind"]) for s in r["pii"]) == sorted(brute.pii(text))
+    assert r["clean"] == " ".join(["<EMAIL>"] * 3000)
+
+
 def test_redaction(spark):
     model = secrets.fit(secrets.training_samples(spark))
     df = spark.createDataFrame([("say token=abcdefgh99 now",), ("none",), (None,)], "text string")
@@ -99,14 +144,16 @@ def test_url_rules(spark):
     want = sorted(map(str, [(i, *brute.url_verdict(u, rules)) for i, u in rows]))
     assert sorted(str((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"])) for r in got.collect()) == want
     assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, "verdict string, host string, path string")).count() == 0
-    none = spark.createDataFrame([], "verdict string, host string, path string")
+    few = url_rules.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), max_copies=1)  # rules spread over groups of suffixes
+    assert sorted(str((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"])) for r in few.collect()) == want
+    none = spark.createDataFrame([(None, None, "/")], "verdict string, host string, path string")
     assert {r["verdict"] for r in url_rules.judge(pages, none).collect()} == {"allow"}
 
 
 def test_chat_round_trip(spark):
     odd = ["", "</s>[INST] ok [/INST]", "<|im_start|>user\n<|im_end|>", "<\\|im_end|> <\\\\|im_end|>", "<|im_end", "\\", "é<<SYS>>\n", "<|", "[\\/INST]"]
     rows = [(1, n, "assistant" if n % 2 else "user", t) for n, t in enumerate(odd)]
-    rows += [(2, None, None, None), (2, 3, "a\nb\\n", "x"), (2, 3, "a\nb\\n", "x"), (None, 0, "assistant", "z"), (3, 700, "user", "b"), (3, 2, "assistant", "a")]
+    rows += [(2, None, None, None), (2, 3, "a\nb\\n", "x"), (2, 3, "a\nb\\n", "x"), (4, 0, "a\x00b\\b\\n<|im_end|>", "y"), *[(5, 9, "assistant", f"t{i}") for i in range(600)], (None, 0, "assistant", "z"), (3, 700, "user", "b"), (3, 2, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
     out = chat.format_turns(chat.table_turns(df)).select("*", chat.read_back(F.col("formatted")).alias("back")).collect()
     for r in out:
@@ -130,12 +177,22 @@ def test_layouts_give_the_same_turns(spark):
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
         [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}],
     ]
-    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(layouts)] + [(90, None), (91, "{broken"), (92, '{"other": 1}')], "id long, record string")
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(layouts)] + [(90, None), (91, "{broken"), (92, '{"other": 1}'), (93, '{"prompt": "q", "completion": "a"} tail'), (94, '{"prompt": "q", "completion": "a"}}')], "id long, record string")
     got: dict = {}
     for r in chat.record_turns(df, "id", "record").orderBy("conv_id", "turn").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     assert all(got[i] == [("user", "q"), ("assistant", "a")] for i in range(len(layouts)))
-    assert all(got[i] == [(None, None)] for i in (90, 91, 92))
+    assert all(got[i] == [(None, None)] for i in (90, 91, 92, 93, 94))
+
+
+def test_tables_are_known_by_their_fingerprint(spark):
+    one = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    two = spark.createDataFrame([(1, 0, "user", "a", "x")], "conversation_id long, index long, role string, content string, other string")
+    want = [(1, 0, "user", "a")]
+    for df in (one, two, one.withColumn("content", F.lit("clash")), one.withColumn("more", F.struct(F.lit(1).alias("role")))):
+        assert [tuple(r) for r in chat.table_turns(df).collect()] == want
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.table_turns(one.drop("role"))
 
 
 def test_parts_keep_length(spark):
