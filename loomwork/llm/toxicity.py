@@ -14,13 +14,14 @@ negatives beside random ones. Everything that reaches the driver is bounded by t
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, table
+from .common import map_texts, slices, stored, table
 from .quality import fold, logistic
 
 #: All windows are scored; those that the network is first trained on are picked at a wider stride, which makes them differ.
@@ -36,15 +37,17 @@ EPOCHS, BATCH, RATE = 4, 256, 0.01
 MINED, MINE_ABOVE = 3, -4.0
 THRESHOLD = 0.3
 #: Words whose projected inputs each Python worker remembers, and windows that it runs at once.
-CACHE, AT_ONCE = 100_000, 1_024
+CACHE, AT_ONCE = 100_000, 2_048
 CUES = 1 << 16
+#: Windows of repeated phrases made of each clean window in training; one of them is trained on, the others where the network is wrong.
+TILED = 4
 
 _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
     found = _WORD.findall(text.lower()) if text else []
-    if all(len(w) <= LONG for w in found):
+    if max(map(len, found), default=0) <= LONG:
         return found
     return [p for w in found for p in ([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w) - OVERLAP, LONG - OVERLAP)))]
 
@@ -53,11 +56,27 @@ def _hash(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass"))
 
 
-def char_grams(word: str) -> list[int]:
-    """Buckets of a word's character trigrams, with its ends marked, and of its beginnings of three to six."""
-    w = f"<{word}>"
-    grams = [w[i : i + 3] for i in range(max(1, len(w) - 2))] + ["^" + word[:n] for n in range(3, min(6, len(word)) + 1)]
-    return [_hash(g) % CHAR_BUCKETS for g in grams]
+def char_grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's character trigrams, with its ends marked, and of its beginnings of three to six; and how many each word has."""
+    marked = [f"<{w or ' '}>" for w in vocabulary]
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array(list(map(len, marked))) - 2
+    at = np.cumsum(lengths + 2) - lengths - 2
+    many = np.clip(lengths - 2, 0, 4)
+    begins = np.cumsum(lengths + many) - lengths - many
+    flat = np.empty(int((lengths + many).sum()), np.uint64)
+    # the trigram at place k of a word is its kth
+    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = np.repeat(at, lengths) + inside
+    flat[np.repeat(begins, lengths) + inside] = (c[first] * np.uint64(31) + c[first + 1]) * np.uint64(1_000_003) + c[first + 2]
+    for n in range(3, 7):
+        has = np.flatnonzero(lengths >= n)
+        total = np.full(len(has), n, np.uint64)
+        for j in range(n):
+            total = total * np.uint64(1_000_003) + c[at[has] + 1 + j]
+        flat[begins[has] + lengths[has] + n - 3] = total * np.uint64(7) + np.uint64(n)
+    flat = (flat ^ (flat >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((flat ^ (flat >> np.uint64(32))) % np.uint64(CHAR_BUCKETS)).astype(np.int64), lengths + many
 
 
 def cues(word: str) -> list[int]:
@@ -74,8 +93,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _tanh(x: np.ndarray) -> np.ndarray:
-    return 2 / (1 + np.exp(-2 * x)) - 1
+def _soft(x: np.ndarray) -> np.ndarray:
+    """Softsign; halved and moved it is the gates' function, at a fifth of the cost of the logistic one."""
+    return x / (1 + np.abs(x))
 
 
 class Network:
@@ -84,15 +104,14 @@ class Network:
     def __init__(self, seed: int = 3) -> None:
         rng, d, h = np.random.default_rng(seed), WORD_DIM + CHAR_DIM, HIDDEN
         draw = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
-        self.p = {"word": draw(WORD_BUCKETS, WORD_DIM, by=0.1), "char": draw(CHAR_BUCKETS, CHAR_DIM, by=0.3), "v": draw(2 * h, by=0.1), "w": draw(2 * h, by=0.3), "b": np.zeros(1, np.float32)}
+        self.p = {"word": draw(WORD_BUCKETS, WORD_DIM, by=0.1), "char": draw(CHAR_BUCKETS, CHAR_DIM, by=0.3), "v": draw(2 * h, by=0.1), "w": draw(2 * h, by=0.3), "b": np.full(1, -4, np.float32)}
         for way in "fb":
             self.p |= {f"{way}x": draw(d, 3 * h, by=d**-0.5), f"{way}0": np.zeros(3 * h, np.float32), f"{way}g": draw(h, 2 * h, by=h**-0.5), f"{way}c": draw(h, h, by=h**-0.5)}
         self.curve = (1.0, 0.0)
 
     def inputs(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        grams = [char_grams(w) for w in vocabulary]
-        sizes = np.array([len(g) for g in grams])
-        return np.array([_hash(w) % WORD_BUCKETS for w in vocabulary]), np.concatenate([np.array(g) for g in grams]), np.cumsum(sizes) - sizes, sizes
+        flat, sizes = char_grams(vocabulary)
+        return np.array([_hash(w) % WORD_BUCKETS for w in vocabulary]), flat, np.cumsum(sizes) - sizes, sizes
 
     def embed(self, inputs) -> np.ndarray:
         word, flat, begins, sizes = inputs
@@ -104,9 +123,9 @@ class Network:
         h, n, g, c = HIDDEN, x.shape[1], self.p[f"{way}g"], self.p[f"{way}c"]
         states, now = np.empty((x.shape[0], n, h), np.float32), np.zeros((n, h), np.float32)
         for t in range(x.shape[0]) if way == "f" else range(x.shape[0] - 1, -1, -1):
-            gates = _sigmoid(x[t, :, : 2 * h] + now @ g)
+            gates = 0.5 + 0.5 * _soft(x[t, :, : 2 * h] + now @ g)
             z, r = gates[:, :h], gates[:, h:]
-            new = _tanh(x[t, :, 2 * h :] + (r * now) @ c)
+            new = np.tanh(x[t, :, 2 * h :] + (r * now) @ c)
             if keep is not None:
                 keep.append((t, now, z, r, new))
             now = now + (z * mask[t]) * (new - now)
@@ -119,32 +138,51 @@ class Network:
         pooled = np.einsum("tn,tnh->nh", share, states)
         return pooled @ self.p["w"] + self.p["b"][0], share, pooled
 
-    def logits(self, forward: np.ndarray, backward: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """As run() and pool(), for scoring: in place, and without a mask where all windows are full."""
-        h, (steps, n, _) = HIDDEN, forward.shape
-        states = np.empty((steps, n, 2 * h), np.float32)
-        for k, (way, x) in enumerate((("f", forward), ("b", backward))):
-            g, c, now = self.p[f"{way}g"], self.p[f"{way}c"], np.zeros((n, h), np.float32)
-            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-                gates = now @ g
-                gates += x[t, :, : 2 * h]
-                np.exp(np.negative(gates, out=gates), out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                new = (gates[:, h:] * now) @ c
-                new += x[t, :, 2 * h :]
-                new *= -2
-                np.exp(new, out=new)
-                new += 1
-                np.divide(2, new, out=new)
-                new -= 1
-                new -= now
-                new *= gates[:, :h]
-                if mask is not None:
-                    new *= mask[t]
-                now += new
-                states[t, :, k * h : (k + 1) * h] = now
-        return self.pool(states, np.ones((steps, n, 1), np.float32) if mask is None else mask)[0]
+    def scan(self, way: str, x, n: int, steps: int, mask: np.ndarray | None = None) -> np.ndarray:
+        """As run(), for scoring: what each state of n windows adds to attention and logit, (time, 2, window).
+
+        x(t) gives the projected inputs at step t, (3 * HIDDEN, window).
+        """
+        h = HIDDEN
+        gate, cell = np.ascontiguousarray(self.p[f"{way}g"].T), np.ascontiguousarray(self.p[f"{way}c"].T)
+        half = slice(0, h) if way == "f" else slice(h, 2 * h)
+        heads = np.stack([self.p["v"][half], self.p["w"][half]])
+        now, gates, size, new, kept = (np.zeros((k, n), np.float32) for k in (h, 2 * h, 2 * h, h, h))
+        out = np.empty((steps, 2, n), np.float32)
+        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+            own = x(t)
+            np.matmul(gate, now, out=gates)
+            gates += own[: 2 * h]
+            np.abs(gates, out=size)
+            size += 1
+            gates /= size
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[h:], now, out=kept)
+            np.matmul(cell, kept, out=new)
+            new += own[2 * h :]
+            # tanh, by the faster exp; an overflow is its end
+            new *= -2
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            new -= now
+            new *= gates[:h]
+            if mask is not None:
+                new *= mask[t]
+            now += new
+            np.matmul(heads, now, out=out[t])
+        return out
+
+    def logits(self, x, n: int, steps: int, mask: np.ndarray | None = None) -> np.ndarray:
+        """Logits of n windows; x(way, t) as in scan(), mask (time, window) says where there are words."""
+        with np.errstate(over="ignore"):
+            both = self.scan("f", lambda t: x("f", t), n, steps, mask) + self.scan("b", lambda t: x("b", t), n, steps, mask)
+        e = np.exp(np.clip(both[:, 0], -30, 30))
+        if mask is not None:
+            e *= mask
+        return (e * both[:, 1]).sum(axis=0) / np.maximum(e.sum(axis=0), 1e-20) + self.p["b"][0]
 
     def gradients(self, ids: np.ndarray, labels: np.ndarray, inputs) -> tuple[float, dict]:
         """Mean logistic loss of windows (time, window) of places in inputs, -1 where there is no word, and its gradients."""
@@ -180,9 +218,9 @@ class Network:
                 d_now = d_now + d_states[t]
                 m = mask[t]
                 d_new = d_now * z * m * (1 - new * new)
-                d_z = d_now * (new - before) * m * z * (1 - z)
+                d_z = d_now * (new - before) * m * (1 - np.abs(2 * z - 1)) ** 2 / 2
                 d_rh = d_new @ c.T
-                d_r = d_rh * before * r * (1 - r)
+                d_r = d_rh * before * (1 - np.abs(2 * r - 1)) ** 2 / 2
                 gates = np.concatenate([d_z, d_r], axis=1)
                 out[f"{way}c"] += (r * before).T @ d_new
                 out[f"{way}g"] += before.T @ gates
@@ -229,7 +267,11 @@ class Network:
 
 
 class Scorer:
-    """Largest window logits of texts, many windows at a time; projected inputs of words are remembered."""
+    """Largest window logits of texts, many windows at a time; projected inputs of words are remembered.
+
+    Windows begin at each word, so that at a step those of neighbouring words read neighbouring rows:
+    texts are laid end to end and a step is one slice of them. Windows across two texts aren't counted.
+    """
 
     def __init__(self, net: Network) -> None:
         self.net = net
@@ -237,36 +279,60 @@ class Scorer:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.tables = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in "fb"]  # row 0: no word
+        self.table = np.zeros((1024, 6 * HIDDEN), np.float32)  # row 0: no word; forwards, then backwards
 
     def _learn(self, new: list[str]) -> None:
-        x = self.net.embed(self.net.inputs(new))
+        h, x = HIDDEN, self.net.embed(self.net.inputs(new))
         at, end = len(self.place) + 1, len(self.place) + 1 + len(new)
+        if end > len(self.table):
+            more = np.zeros((max(end, len(self.table)), 6 * h), np.float32)
+            self.table = np.concatenate([self.table, more])
         for k, way in enumerate("fb"):
-            if end > len(self.tables[k]):
-                more = np.zeros((max(end, len(self.tables[k])), 3 * HIDDEN), np.float32)
-                self.tables[k] = np.concatenate([self.tables[k], more])
-            self.tables[k][at:end] = x @ self.net.p[f"{way}x"] + self.net.p[f"{way}0"]
+            own = x @ self.net.p[f"{way}x"] + self.net.p[f"{way}0"]
+            self.table[at:end, 3 * h * k : 3 * h * (k + 1)] = own
         self.place.update(zip(new, range(at, end), strict=True))
 
+    def _rows(self, places: np.ndarray):
+        """x(way, t) of windows that begin at each of the places but the last WINDOW - 1."""
+        h, n = HIDDEN, len(places) - WINDOW + 1
+        x = np.ascontiguousarray(self.table[places].T)
+        return lambda way, t: x[:, t : t + n][slice(0, 3 * h) if way == "f" else slice(3 * h, 6 * h)]
+
+    def _long(self, places: np.ndarray) -> np.ndarray:
+        """Logits of the windows at each place of a run of words, the last WINDOW - 1 left out."""
+        n = len(places) - WINDOW + 1
+        return np.concatenate([self.net.logits(self._rows(places[k : min(n, k + AT_ONCE) + WINDOW - 1]), min(n, k + AT_ONCE) - k, WINDOW) for k in range(0, n, AT_ONCE)])
+
+    def _short(self, many: list[np.ndarray]) -> np.ndarray:
+        """Logits of texts of WINDOW words at most, a window each."""
+        places = np.zeros((len(many), WINDOW), np.int64)
+        for n, own in enumerate(many):
+            places[n, : len(own)] = own
+        x = np.ascontiguousarray(self.table[places].transpose(1, 2, 0))
+        mask = np.ascontiguousarray((places > 0).T).astype(np.float32)
+        return self.net.logits(lambda way, t: x[t][slice(0, 3 * HIDDEN) if way == "f" else slice(3 * HIDDEN, 6 * HIDDEN)], len(many), WINDOW, mask)
+
     def logits(self, texts) -> list[tuple[float, int]]:
         """For each text, whatever its length, the largest logit and the first word of its window; texts are taken as they come."""
         best: list[tuple[float, int]] = []
-        pending: list[np.ndarray] = []
-        owner: list[tuple[int, int]] = []
+        short: list[tuple[int, np.ndarray]] = []
+        long: list[tuple[int, np.ndarray]] = []
 
         def flush() -> None:
-            if not owner:
-                return
-            places = np.ascontiguousarray(np.concatenate(pending).T)
-            mask = None if places.all() else (places > 0)[:, :, None].astype(np.float32)
-            values = self.net.logits(self.tables[0][places], self.tables[1][places], mask).tolist()
-            for (n, s), value in zip(owner, values, strict=True):
-                if value > best[n][0]:
-                    best[n] = value, s
-            pending.clear()
-            owner.clear()
-
+            if short:
+                for (n, _), value in zip(short, self._short([p for _, p in short]).tolist(), strict=True):
+                    best[n] = value, 0
+            if long:
+                values, at = self._long(np.concatenate([p for _, p in long])), 0
+                for n, p in long:
+                    own = values[at : at + len(p) - WINDOW + 1]
+                    first = int(own.argmax())
+                    best[n] = float(own[first]), first
+                    at += len(p)
+            short.clear()
+            long.clear()
+
+        held = 0
         for n, text in enumerate(texts):
             seq = words(text)
             best.append((float("-inf"), 0))
@@ -274,22 +340,37 @@ class Scorer:
             if new:
                 if len(self.place) + len(new) > CACHE:
                     flush()
+                    held = 0
                     self._forget()
                     new = set(seq)
                 self._learn(sorted(new))
-            places = np.zeros(max(len(seq), WINDOW), np.int64)
-            places[: len(seq)] = list(map(self.place.__getitem__, seq))
-            starts = window_starts(len(seq))
-            for k in range(0, len(starts), AT_ONCE):
-                some = starts[k : k + AT_ONCE]
-                pending.append(places[np.array(some)[:, None] + np.arange(WINDOW)])
-                owner += [(n, s) for s in some]
-                if len(owner) >= AT_ONCE:
-                    flush()
+            places = np.fromiter(map(self.place.__getitem__, seq), np.int64, len(seq))
+            (long if len(seq) > WINDOW else short).append((n, places))
+            held += max(len(seq), WINDOW)
+            if held >= 4 * AT_ONCE:
+                flush()
+                held = 0
         flush()
         return best
 
 
+#: The scorer that this Python worker made last, by the name of the network it was sent.
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(spark: SparkSession, net: Network):
+    """A function for executors that returns the scorer, made once in each Python worker."""
+    sent, tag = spark.sparkContext.broadcast(net), uuid.uuid4().hex
+
+    def made() -> Scorer:
+        if tag not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[tag] = Scorer(sent.value)
+        return _SCORERS[tag]
+
+    return made
+
+
 def _sample(docs: DataFrame, labels: DataFrame, label: str, use, text: str) -> tuple[DataFrame, float]:
     """doc_id, text, y of the bounded sample, and by how much its log-odds of the label exceed those of all usable labels."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & use(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -332,6 +413,19 @@ def pick_windows(seq: list[str], odds: np.ndarray, toxic: bool, seed: int) -> li
     return [seq[starts[i] : starts[i] + WINDOW] for i in chosen]
 
 
+def repeated(windows: list[list[str]], seed: int = 11) -> list[list[str]]:
+    """TILED windows for each given one, of a few of its words said over and over.
+
+    A state that is fed one phrase without end goes where no ordinary window takes it.
+    """
+    rng, out = np.random.default_rng(seed), []
+    for w in windows:
+        for at in rng.integers(len(w), size=TILED) if w else ():
+            phrase = w[at : at + int(rng.integers(1, 5))]
+            out.append((phrase * WINDOW)[:WINDOW])
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", text: str = "text") -> Network:
     """Four fifths of the sample train the network, the rest the curve. Without both classes the score is the share of label 1."""
     sample, shift = _sample(docs, labels, label, use, text)
@@ -357,12 +451,16 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", text: str
         share = (float(y.sum()) + 1) / (len(y) + 2)
         net.curve = (0.0, float(np.log(share / (1 - share))))
         return net
+    tiles = repeated([w for w, toxic in zip(windows, y, strict=True) if not toxic])
+    tiles += [[]] * (len(windows) // 50 + 1)  # no words are clean
+    windows, y = windows + tiles[::TILED], np.concatenate([y, np.zeros(len(tiles[::TILED]), np.float32)])
     net.train(windows, y)
-    # windows of clean texts that the network takes for toxic join the training
+    # windows of clean texts, of repeated phrases and of nothing that the network takes for toxic join the training
     clean = sample.filter(~held & (F.col("y") == 0)).select("doc_id", "text")
     for n in range(MINED):
         mined = sorted(hardest(clean, net).collect(), key=lambda r: r["doc_id"])
         windows += [list(r["window"]) for r in mined if r["logit"] > MINE_ABOVE]
+        windows += [t for t, (logit, _) in zip(tiles, Scorer(net).logits(map(" ".join, tiles)), strict=True) if logit > MINE_ABOVE]
         y = np.concatenate([y, np.zeros(len(windows) - len(y), np.float32)])
         net.train(windows, y, epochs=2, seed=6 + n)
     held_out = logits(sample.filter(held).select("doc_id", "text", "y"), net, keep=["doc_id", "y"]).collect()
@@ -374,10 +472,10 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", text: str
 
 def hardest(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """doc_id, and the window of each text with the largest logit."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    made = _scorer(docs.sparkSession, net)
 
     def start():
-        scorer = Scorer(sent.value)
+        scorer = made()
 
         def one(t: str | None):
             value, first = scorer.logits([t])[0]
@@ -393,18 +491,19 @@ def logits(docs: DataFrame, net: Network, text: str = "text", keep: list[str] |
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     keep = keep or [c for c in docs.columns if c != "logit"]
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    made = _scorer(docs.sparkSession, net)
     kept = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     out = StructType([*[kept.schema[c] for c in keep], StructField("logit", DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(sent.value)
-        for batch in batches:
-            at = batch.schema.get_field_index
-            values = [value for value, _ in scorer.logits(v.as_py() for v in batch.column(at(text)))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in keep], pa.array(values, pa.float64())], names=out.names)
+        scorer = made()
+        for whole in batches:
+            at = whole.schema.get_field_index
+            for batch in slices(whole, at(text)):
+                values = [value for value, _ in scorer.logits(v.as_py() for v in batch.column(at(text)))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in keep], pa.array(values, pa.float64())], names=out.names)
 
     return kept.mapInArrow(run, out)
 
