@@ -18,20 +18,29 @@ from loomwork.llm import bpe, common, decontaminate, neardup, pii, quality
 SHINGLE, PERCENT = 5, 80
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name like the given one that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects. Null texts are judged as empty ones."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"), lambda i: F.lit(True))
-    scored = quality.scored(docs, model, name="_quality")
-    return scored.filter(F.col("_quality") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = _free("score", docs)
+    scored = quality.scored(docs, model, name=name)
+    return scored.filter(F.col(f"`{name}`") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near duplicates, in one row; null ids stay."""
+    """Keeps the document of the smallest doc_id of each group of near duplicates; null ids stay. Of rows of one id the first by all columns stays."""
     found = neardup.near_duplicates(docs, SHINGLE, PERCENT).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     found = common.stored(found.filter(F.col("doc_id").isNotNull() & (~F.col("kept") | (F.col("n") > 1))), "pipeline-copies")
     once = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    again = docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    least = again.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return once.unionByName(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +50,16 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that give it away, in the texts."""
-    found = pii.find_pii(docs)
-    text = pii.sanitised(F.col("text"), F.col("pii"))
+    name = _free("found", docs)
+    found = pii.find_pii(docs, name=name)
+    text = pii.sanitised(F.col("text"), F.col(f"`{name}`"))
     return found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids and n_tokens of each document, and whether the ids decode to its text."""
-    coded = bpe.encode(docs, bpe.default_codec(spark), keep=["doc_id", "source", "lang", "text"])
-    back = bpe.decode(coded, bpe.default_codec(spark), keep=["doc_id", "source", "lang", "text", "ids"])
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = bpe.round_trip(docs, bpe.default_codec(spark), keep=["doc_id", "source", "lang"])
+    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

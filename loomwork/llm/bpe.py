@@ -11,14 +11,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from collections.abc import Iterator
+from itertools import chain, islice
+from sys import getsizeof
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, table
 
-#: Characters of pretokens in each generation of what a Python worker remembers.
-CACHE = 2_000_000
+#: Bytes of each generation of what a Python worker remembers of pieces, those of an entry beside its objects, and characters of a text in hand at once.
+CACHE, _ENTRY, AT_ONCE = 40_000_000, 110, 200_000
 _NONE = 1 << 62
 
 
@@ -82,7 +85,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memory:
-    """What make(key) gives, remembered in two generations: when the young one is full it becomes the old one, whose keys are found again as they recur."""
+    """What make(key) gives, remembered in two generations of bounded bytes.
+
+    When the young one is full it becomes the old one, whose keys are found again as they recur.
+    """
 
     def __init__(self, make, most: int = CACHE) -> None:
         self.make, self.most, self.room = make, most, most
@@ -95,11 +101,12 @@ class Memory:
             got = self.old.get(key)
             if got is None:
                 got = self.make(key)
-            if len(key) > self.most // 8:
+            cost = _ENTRY + getsizeof(key) + getsizeof(got)
+            if cost > self.most // 8:
                 return got
-            self.room -= len(key)
+            self.room -= cost
             if self.room < 0:
-                self.old, self.young, self.room = self.young, {}, self.most - len(key)
+                self.old, self.young, self.room = self.young, {}, self.most - cost
             self.young[key] = got
         return got
 
@@ -111,33 +118,42 @@ class Memory:
 
 
 class Codec:
+    """Ranks, their inverse, and the ids of pieces as far as they are remembered."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern)
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.ids = Memory(self._ids)
-        self.written = Memory(self._written)
+        self.ids = Memory(lambda piece: tuple(merge(piece.encode("utf-8"), self.ranks)))
 
-    def _ids(self, token: str) -> list[int]:
-        return merge(token.encode("utf-8"), self.ranks)
-
-    def _written(self, token: str) -> tuple[str, int, bytes]:
-        ids = self._ids(token)
-        return ",".join(map(str, ids)), len(ids), self.decode(ids)
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, those of a long one in parts."""
+        if len(text) <= AT_ONCE:
+            yield list(chain.from_iterable(self.ids.all(self.split.findall(text))))
+            return
+        found = self.split.finditer(text)
+        while pieces := [m[0] for m in islice(found, AT_ONCE // 8)]:
+            yield list(chain.from_iterable(self.ids.all(pieces)))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for ids in self.ids.all(self.split(text)):
-            out += ids
-        return out
+        return list(chain.from_iterable(self.parts(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def write(self, text: str) -> tuple[int, str, bytes]:
         """The number of ids, the ids in decimal, comma-joined, and the bytes that they decode to."""
-        parts = self.written.all(self.split(text))
-        return sum([p[1] for p in parts]), ",".join([p[0] for p in parts]), b"".join([p[2] for p in parts])
+        ids = self.encode(text)
+        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """As write(), with hexadecimal digests in place of both strings, which aren't held whole for a long text."""
+        n, decimal, back = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in self.parts(text):
+            decimal.update((("," if n and ids else "") + ",".join(map(str, ids))).encode())
+            back.update(self.decode(ids))
+            n += len(ids)
+        return n, decimal.hexdigest(), back.hexdigest()
 
 
 #: The codec that this Python worker made last, by the name of the ranks it was sent.
@@ -183,18 +199,28 @@ def decode(coded: DataFrame, made, ids: str = "ids", keep: list[str] | None = No
     return map_texts(coded, ids, keep or [c for c in coded.columns if c != "decoded"], "decoded binary", start)
 
 
-def digests(docs: DataFrame, made, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep with n_tokens, the digest of the ids and that of the bytes that they decode to."""
+def round_trip(docs: DataFrame, made, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (default: all) with ids array<int> and round_trip, whether the ids decode to the text, in one pass."""
 
     def start():
         c = made()
 
         def one(t: str | None):
-            n, ids, back = c.write(t or "")
-            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+            ids = c.encode(t or "")
+            return ids, c.decode(ids) == (t or "").encode("utf-8")
 
         return one
 
+    return map_texts(docs, text, keep or [c for c in docs.columns if c not in ("ids", "round_trip")], "ids array<int>, round_trip boolean", start)
+
+
+def digests(docs: DataFrame, made, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep with n_tokens, the digest of the ids and that of the bytes that they decode to."""
+
+    def start():
+        c = made()
+        return lambda t: c.digest(t or "")
+
     return map_texts(docs, text, keep or docs.columns, "n_tokens long, ids_sha256 string, decoded_sha256 string", start)
 
 

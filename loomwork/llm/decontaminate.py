@@ -1,11 +1,12 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton is built on the driver from items of a bounded number of words and sent to every
-executor; documents stream through it a word at a time, following suffix links on a mismatch, so
-that at each word the length of the longest match with any item is known. A match of `window` words
-or more ends an occurrence of a window of the items under that state; items shorter than the window
-count as a whole. Benchmarks over `shard_words` words are cut into shards, one automaton each, and
-what the shards hit is merged per document.
+The items of a bounded number of words are sent to every executor, whose Python workers build the
+automaton of them; documents stream through it a word at a time, following suffix links on a
+mismatch, so that at each word the length of the longest match with any item is known. A match of
+`window` words or more ends an occurrence of a window of the items under that state; items shorter
+than the window count as a whole. Benchmarks over `shard_words` words are cut into shards, which take
+their turn: one shard is on the driver and one automaton in a worker at a time, and what the shards
+hit is written down and merged per document.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SPARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = str.maketrans(UPPER, LOWER)
 WINDOW = 10
-#: Words of items in one automaton; about 100 bytes for each in an executor's Python.
+#: Words of items in one automaton; about 400 bytes for each in an executor's Python.
 SHARD_WORDS = 200_000
 
 
@@ -45,21 +46,22 @@ class Automaton:
             last = 0
             for word in seq:
                 last = self._extend(last, word)
-        self.ids: list[dict[object, None]] = [{} for _ in self.step]
-        self.short: list[list[tuple[int, object]]] = [[] for _ in self.step]
+        self.ids: dict[int, dict[object, None]] = {}  # of the states of windows
+        self.short: list[tuple[tuple[int, object], ...]] = [()] * len(self.step)
         for key, seq in kept:
             if len(seq) < window:
                 state = 0
                 for word in seq:
                     state = self.step[state][word]
-                self.short[state].append((len(seq), key))
+                self.short[state] += ((len(seq), key),)
             else:
                 for state, n in self.walk(seq):
                     if n >= window:
-                        self.ids[self._window_state(state)][key] = None
+                        self.ids.setdefault(self._window_state(state), {})[key] = None
         # shorter items that end wherever a longer string does
         for state in sorted(range(1, len(self.step)), key=self.size.__getitem__):
-            self.short[state] = self.short[state] + self.short[self.link[state]]
+            if self.short[self.link[state]]:
+                self.short[state] += self.short[self.link[state]]
         self.at = [self._window_state(s) if self.size[s] >= window else -1 for s in range(len(self.step))]
         self.least = min([window, *(len(seq) for _, seq in kept)])
 
@@ -166,27 +168,50 @@ class Automaton:
 _BUILT: dict[str, Automaton] = {}
 
 
-def _shards(benchmark: DataFrame, text: str, item_id: str, shard_words: int) -> list[list[tuple[object, list[str]]]]:
-    """Items in lists of bounded size; items without words are left out. Words are made by Spark, which counts them first."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_SPARK_WORD), F.lit(0)).alias("w")).filter((F.size("w") > 0) & F.col("id").isNotNull())
-    total = items.agg(F.sum(F.size("w"))).first()[0] or 0
-    n = max(1, math.ceil(total / shard_words))
-    if n == 1:
-        return [[(r["id"], r["w"]) for r in items.collect()]]
-    return [[(r["id"], r["w"]) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()] for k in range(n)]
-
-
-def _automaton(spark: SparkSession, items: list[tuple[object, list[str]]], window: int):
-    """A function for executors that returns the automaton of the items, built once for each Python worker."""
-    sent, tag = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-
-    def built() -> Automaton:
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Automaton(sent.value, window)
-        return _BUILT[tag]
+def _shards(benchmark: DataFrame, text: str, item_id: str, shard_words: int, window: int = WINDOW) -> list[DataFrame]:
+    """(id, w) of the items in tables of bounded size; items without words or id are left out. Words are made and counted by Spark.
 
-    return built
+    An item of more words than a shard holds is cut into pieces that overlap by a window less one word.
+    """
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_SPARK_WORD), F.lit(0)).alias("w")).filter((F.size("w") > 0) & F.col("id").isNotNull())
+    total = items.agg(F.sum(F.size("w").cast("long"))).first()[0] or 0
+    if total <= shard_words:
+        return [items]
+    most = max(shard_words, window)
+    starts = F.sequence(F.lit(0), F.size("w") - most, F.lit(most - window + 1))
+    begins = F.array_distinct(F.concat(starts, F.array(F.size("w") - most)))
+    pieces = F.when(F.size("w") > most, F.transform(begins, lambda i: F.slice("w", i + 1, most))).otherwise(F.array("w"))
+    n = math.ceil(total / shard_words)
+    cut = items.select("id", F.posexplode(pieces).alias("piece", "w")).select("id", "w", F.pmod(F.xxhash64("id", "piece"), F.lit(n)).alias("shard"))
+    cut = stored(cut, "decontaminate-items")
+    return [cut.filter(F.col("shard") == k).select("id", "w") for k in range(n)]
+
+
+class _Sent:
+    """The items of one shard, broadcast. built() returns their automaton on executors, made once in each Python worker."""
+
+    def __init__(self, shard: DataFrame, window: int) -> None:
+        items = [(r["id"], r["w"]) for r in shard.collect()]
+        self.sent = shard.sparkSession.sparkContext.broadcast(items)
+        sent, tag = self.sent, uuid.uuid4().hex
+
+        def built() -> Automaton:
+            if tag not in _BUILT:
+                _BUILT.clear()
+                _BUILT[tag] = Automaton(sent.value, window)
+            return _BUILT[tag]
+
+        self.built = built
+
+
+def _by_shard(shards: list[DataFrame], window: int, hits) -> list[DataFrame]:
+    """What hits(built, number) finds with each shard in turn, written down before the shard is let go."""
+    out = []
+    for n, shard in enumerate(shards):
+        own = _Sent(shard, window)
+        out.append(stored(hits(own.built, n), "decontaminate-hits"))
+        own.sent.destroy()
+    return out
 
 
 def _hits(docs: DataFrame, keep: list[str], text: str, built) -> DataFrame:
@@ -219,17 +244,18 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     Null and empty texts have no words; items without words or id are no items. Items with one text
     are each counted. An empty benchmark hits nothing. Columns of docs other than doc_id and text are ignored.
     """
-    spark = docs.sparkSession
-    shards = [_automaton(spark, items, window) for items in _shards(benchmark, text, item_id, shard_words)]
+    shards = _shards(benchmark, text, item_id, shard_words, window)
     rows = docs.select("doc_id", text)
     if len(shards) == 1:
-        return _hits(rows, ["doc_id"], text, shards[0])
+        return _hits(rows, ["doc_id"], text, _Sent(shards[0], window).built)
     # a row is named by doc_id and two hashes of its text; repeated rows are alike and keep their number
     named = rows.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(text, F.lit(1)))
-    each = reduce(DataFrame.unionByName, [_hits(named, ["doc_id", "_h1", "_h2"], text, s) for s in shards])
-    distinct = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    one = each.groupBy("doc_id", "_h1", "_h2").agg(F.max("n_words").alias("n_words"), distinct("spans").alias("s"), distinct("items").alias("items"), F.count(F.lit(1)).alias("n"))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(shards)).cast("int")))
+    # the first shard keeps all rows, the others those that they hit
+    each = _by_shard(shards, window, lambda built, n: _hits(named, ["doc_id", "_h1", "_h2"], text, built).filter((F.size("spans") > 0) | F.lit(n == 0)).withColumn("first", F.lit(n == 0)))
+    # repeated rows are hit alike, so that a set holds as many lists as there are shards at most
+    distinct = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    one = reduce(DataFrame.unionByName, each).groupBy("doc_id", "_h1", "_h2").agg(F.max("n_words").alias("n_words"), distinct("spans").alias("s"), distinct("items").alias("items"), F.count_if("first").alias("n"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     return one.select("doc_id", "n_words", _merged(F.col("s")).alias("spans"), "items", copies.alias("_c")).drop("_c")
 
 
@@ -250,13 +276,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
 
     Coverage is judged once, on the given text, over all items. Cutting repeats until nothing is hit,
     also where a cut brings words together. The number of shards doesn't change the result. Null texts
-    stay null, and columns keep their order.
+    stay null, and columns keep their names and order, whatever they are.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    shards = [_automaton(spark, items, window) for items in _shards(benchmark, text, item_id, shard_words)]
+    columns = docs.columns
+    shards = _shards(benchmark, text, item_id, shard_words, window)
     if len(shards) > 1:
-        return _clean_by_shards(docs, shards, max_coverage, text)
-    built = shards[0]
+        return _clean_by_shards(docs, shards, window, max_coverage, text)
+    built = _Sent(shards[0], window).built
+    cut_, gone = _free("_cut", columns), _free("_gone", columns)
 
     def start():
         auto = built()
@@ -273,17 +300,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
 
         return one
 
-    cut = map_texts(docs, text, columns, "_cut string, _gone boolean", start).filter(~F.col("_gone"))
-    return cut.select(*[F.col("_cut").alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+    cut = map_texts(docs, text, columns, f"`{cut_}` string, `{gone}` boolean", start).filter(~F.col(f"`{gone}`"))
+    return cut.select(*[F.col(f"`{cut_}`").alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """A column name like the given one that no column has."""
+    while name in columns:
+        name += "_"
+    return name
 
 
-def _clean_by_shards(docs: DataFrame, shards: list, max_coverage: float, text: str) -> DataFrame:
+def _clean_by_shards(docs: DataFrame, shards: list[DataFrame], window: int, max_coverage: float, text: str) -> DataFrame:
     """clean() in rounds: what all shards hit is merged for each text and cut at once; texts that were cut go to the next round."""
-    columns, done, first = docs.columns, [], True
+    given, done, first = docs.columns, [], True
+    docs = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(given)])  # so that no name clashes
+    columns, text = docs.columns, "text"
     cut = F.udf(remove, "string")
     while True:
         named = docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(text, F.lit(1)))
-        each = reduce(DataFrame.unionByName, [_hits(named, ["_h1", "_h2"], text, s) for s in shards]).filter(F.size("spans") > 0)
+        each = reduce(DataFrame.unionByName, _by_shard(shards, window, lambda built, n: _hits(named, ["_h1", "_h2"], text, built).filter(F.size("spans") > 0)))
         # copies of a text are hit alike, so that a set holds as many lists as there are shards at most
         one = each.groupBy("_h1", "_h2").agg(F.max("n_words").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("_s"))
         n_hit = F.aggregate("_s", F.lit(0), lambda n, s: n + s[1] - s[0])
@@ -291,7 +327,7 @@ def _clean_by_shards(docs: DataFrame, shards: list, max_coverage: float, text: s
         hit = stored(hit, "decontaminate-hits")
         done.append(named.join(hit, ["_h1", "_h2"], "left_anti").select(*[F.col(f"`{c}`") for c in columns]))
         if hit.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done).toDF(*given)
         left = named.join(hit.filter(~F.col("_gone")), ["_h1", "_h2"])
         docs = stored(left.select(*[cut(text, "_s").alias(c) if c == text else F.col(f"`{c}`") for c in columns]), "decontaminate-cut")
         first = False

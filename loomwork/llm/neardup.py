@@ -237,19 +237,25 @@ def _block(size: int, percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of all nodes of the edges (a, b): the smallest id that is reachable.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of that
-    label; the number of rounds grows with the logarithm of the longest path in practice.
+    Each round takes the smallest label among a node and its neighbours and then, where that label
+    has one itself, the label of the label; the number of rounds grows with the logarithm of the
+    longest path in practice. A hub's neighbours and a component's nodes are dealt to SALTS parts.
     """
-    ends = pinned(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+    ends = pinned(ends)
     labels = pinned(ends.groupBy(F.col("u").alias("id")).agg(F.least("id", F.min("v")).alias("label")))
     while True:
         near = _salted(ends, labels.select(F.col("id").alias("v"), "label"), "v", "u").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
         step = pinned(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        step = pinned(_salted(step, jump, "label", "id").select("id", "old", F.col("far").alias("label")))
-        if step.filter(F.col("old") != F.col("label")).isEmpty():
+        # labels that have a smaller one; mostly none, and then no node is asked for them
+        roots = step.select(F.col("label").alias("id")).distinct().join(step.select("id", F.col("label").alias("far")), "id")
+        roots = pinned(roots.filter(F.col("far") < F.col("id")).select(F.col("id").alias("label"), "far"))
+        if not roots.isEmpty():
+            labels = pinned(_salted(step, roots, "label", "id", "left").select("id", F.coalesce("far", "label").alias("label")))
+        elif step.filter(F.col("old") != F.col("label")).isEmpty():
             return step.select("id", "label")
-        labels = step.select("id", "label")
+        else:
+            labels = step.select("id", "label")
 
 
 def _alike(x: str, y: str, percent: int) -> Column:

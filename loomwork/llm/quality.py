@@ -126,8 +126,8 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray,
     weight, bias = np.zeros(BUCKETS), 0.0
     values = []
     for x in rows:
-        v = scale[x].astype(np.float64)
-        values.append(v / (np.linalg.norm(v) or 1.0))
+        v = scale[x]
+        values.append(v / np.float32(np.linalg.norm(v) or 1.0))
     sign = np.where(labels == 1, 1.0, -1.0)
     share = np.bincount(labels, minlength=2) / len(labels)
     upper = cost * 0.5 / np.maximum(share, 1e-9)[labels]
