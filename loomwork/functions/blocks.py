@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import paths
+from . import paths, strings
 
 
 def block(text: Column, begin: str, end: str) -> Column:
@@ -13,7 +13,7 @@ def block(text: Column, begin: str, end: str) -> Column:
     a = F.instr(text, begin)
     rest = F.substring(text, a + len(begin), F.length(text))
     b = F.instr(rest, end)
-    return F.when((a > 0) & (b > 0), F.trim(F.substring(rest, F.lit(1), b - 1)))
+    return F.when((a > 0) & (b > 0), strings.stripped(F.substring(rest, F.lit(1), b - 1)))
 
 
 def replaced(text: Column, begin: str, end: str, content: Column) -> Column:
@@ -26,7 +26,7 @@ def replaced(text: Column, begin: str, end: str, content: Column) -> Column:
 
 
 def drifted(text: Column, begin: str, end: str, content: Column) -> Column:
-    return ~block(text, begin, end).eqNullSafe(F.trim(content))
+    return ~block(text, begin, end).eqNullSafe(strings.stripped(content))
 
 
 def table_lines(rows: DataFrame, by: list[str], columns: list[str], order: str) -> DataFrame:

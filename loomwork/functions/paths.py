@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import parse
+
 
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
@@ -34,3 +36,19 @@ def in_scope(path: Column, scope: list[str]) -> Column:
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+
+
+def dirname(path: Column) -> Column:
+    """What stands before the last slash; blank without one."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def joined(folder: Column, relative: Column) -> Column:
+    """The path that a relative one means in a folder."""
+    return parse.resolved(F.when(folder == "", "_").otherwise(F.concat(folder, F.lit("/_"))), relative)
+
+
+def side(path: Column) -> Column:
+    """The first segment of a path of several; blank for a file at the top."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise("")

@@ -53,3 +53,9 @@ def filled(text: Column, values: dict[str, str]) -> Column:
     for name, value in values.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.lit(value))
     return text
+
+
+def label(args: Column) -> Column:
+    """How a command is called in reports: its first word without ./ before it."""
+    first = F.regexp_replace(F.get(args, F.lit(0)), r"^(\./)+", "")
+    return F.coalesce(F.nullif(first, F.lit("")), F.lit("command"))

@@ -112,3 +112,18 @@ def commit_title(kind: Column, scope: Column, what: Column) -> Column:
     """type(scope): what, as far as they are given."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return F.when(blank(kind), what).otherwise(F.concat(F.trim(kind), F.when(blank(scope), "").otherwise(F.concat(F.lit("("), F.trim(scope), F.lit(")"))), F.lit(": "), what))
+
+
+def built_urls(owner: Column, repo: Column, host_name: str) -> Column:
+    """struct<ssh443, https, raw> of a repository's urls at a host."""
+    name = F.concat(owner, F.lit("/"), repo)
+    return F.struct(F.concat(F.lit(f"ssh://git@ssh.{host_name}:443/"), name, F.lit(".git")).alias("ssh443"), F.concat(F.lit(f"https://{host_name}/"), name, F.lit(".git")).alias("https"), F.concat(F.lit(f"https://raw.{host_name}/"), name).alias("raw"))
+
+
+def clone_command(owner: Column, repo: Column, private: Column) -> Column:
+    return F.concat(F.lit("clone "), owner, F.lit("/"), repo, F.when(private, " (private)").otherwise(""))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends; trim() takes blanks alone."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")

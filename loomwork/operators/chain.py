@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import pinned
 from . import diff
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -29,15 +32,16 @@ def snapshot(df: DataFrame, key: str) -> DataFrame:
 def run(df: DataFrame, stages: list[Stage], key: str) -> tuple[DataFrame, DataFrame]:
     """The last stage's rows, and one receipt a stage: ord, stage, status, and rows added, modified and deleted.
 
-    Each stage's rows are pinned once, so that neither receipts nor later stages run it again.
+    What went wrong in a stage that doesn't end the chain is logged. Each stage's rows are pinned once, so that neither receipts nor later stages run it again.
     """
     spark, receipts, now = df.sparkSession, [], pinned(df)
     for n, stage in enumerate(stages):
         try:
             after, status = pinned(stage.step(now)), "ok"
-        except Exception:
+        except Exception as error:
             if stage.on_fail == "block":
                 raise
+            log.warning("stage %s: %s: %s", stage.name, type(error).__name__, error)
             after, status = now, "failed" if stage.on_fail == "warn" else "skipped"
         changes = diff.change_counts(diff.snapshot_changes(snapshot(now, key), snapshot(after, key)))
         receipts.append(changes.select(F.lit(n).alias("ord"), F.lit(stage.name).alias("stage"), F.lit(status).alias("status"), "added", "modified", "deleted", "total"))

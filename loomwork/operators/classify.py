@@ -13,7 +13,7 @@ FAILURE_RULES = [
     ("repo-not-found-or-no-access", r"(?i)repository not found|repository .{0,40}not found|does not exist|not accessible|could not read from remote repository|remote: not found|403 forbidden"),
     ("dns", r"(?i)could not resolve host|temporary failure in name resolution|getaddrinfo|name or service not known"),
     ("network", r"(?i)connection timed out|connection refused|network is unreachable|operation timed out|failed to connect|connection reset|no route to host"),
-    ("diverged", r"(?i)non-fast-forward|fetch first|updates were rejected"),
+    ("diverged", r"(?i)non-fast-forward|fetch first|updates were rejected|远程仓库包含您本地尚不存在的提交"),
     ("protected", r"(?i)protected branch|gh006|refusing to allow|push declined due to repository rule"),
     ("rate-limited", r"(?i)\b429\b|rate limit|secondary rate"),
     ("server-error", r"(?i)internal server error|rpc failed|remote end hung up|\b50[0-9]\b|\b5\d\d\b"),
@@ -42,16 +42,20 @@ def push_failure(text: Column, status: Column | None = None, no_remote: Column |
     return F.struct(code.alias("code"), F.left(flat, F.lit(400)).alias("fact"), confidence.alias("confidence"))
 
 
-def run_summary(runs: DataFrame, by: list[str], status: Column, conclusion: Column, name: str) -> DataFrame:
-    """total, pending, failing, ok, conclusion and the names of failing runs. No runs: none; any pending: pending; any failing: failure."""
+def run_summary(runs: DataFrame, by: list[str], status: Column, conclusion: Column, name: str, most_names: int = 1_000) -> DataFrame:
+    """total, pending, failing, ok, conclusion and the names of failing runs, the first most_names by name. No runs: none; any pending: pending; any failing: failure."""
     pending, fine = status != "completed", conclusion.isin("success", "neutral", "skipped")
     one = runs.select(*by, F.col(name).alias("_name"), pending.alias("_pending"), (~pending & ~F.coalesce(fine, F.lit(False))).alias("_failing"))
     out = one.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("_pending").alias("pending"),
         F.count_if("_failing").alias("failing"),
-        F.array_sort(F.collect_list(F.when(F.col("_failing"), F.col("_name")))).alias("failing_runs"),
     )
+    # names are gathered of few failing runs alone, not of all runs of a group
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_name"))
+    names = one.filter("_failing").select(*by, "_name", place.alias("_n")).filter(F.col("_n") <= most_names)
+    names = names.groupBy(*by).agg(F.array_sort(F.collect_list("_name")).alias("failing_runs"))
+    out = out.join(names, by, "left").withColumn("failing_runs", F.coalesce("failing_runs", F.array().cast("array<string>")))
     verdict = F.when(F.col("total") == 0, "none").when(F.col("pending") > 0, "pending").when(F.col("failing") > 0, "failure").otherwise("success")
     return out.withColumn("ok", F.col("total") - F.col("pending") - F.col("failing")).withColumn("conclusion", verdict)
 

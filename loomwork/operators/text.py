@@ -13,8 +13,9 @@ SENSITIVE_KEYS = [
     ("password", ["password", "passwd", "pass_word", "pass-word", "pwd"], 3),
     ("token/secret", ["api_key", "api-key", "apikey", "api_secret", "api-secret", "access_key", "access-key", "auth_token", "auth-token", "refresh_token", "refresh-token", "secret_key", "secret-key", "client_secret", "client-secret"], 6),
 ]
+# Literals that stand for a secret and are none, lines that give examples, and file names that are secrets by themselves.
 PLACEHOLDER = r"(?i)^(your[-_ ]?[a-z]+|xxx+\.?\.?|example|changeme|dummy|sample|demo|placeholder|<[^>]+>|\$\{?[A-Z_][A-Z0-9_]*}?|process\.env\.[A-Z_]+|env\.[A-Z_]+|undefined|null|true|false)$"
-EXAMPLE_LINE = r"(?i)(fake|sample|demo|example|illustration)"
+EXAMPLE_LINE = r"(?i)(例如|举例|示例|样例|演示|比如|fake|sample|demo|example|illustration)"
 SENSITIVE_NAMES = [".env", ".env.local", "id_rsa", "id_ed25519", "id_ecdsa", "*.pem", "*.key"]
 
 
@@ -23,30 +24,38 @@ def lines_of(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+_LITERAL = r"""^(?:"([^"]*)"|'([^']*)'|`([^`]*)`)\s*[,;)\]}\s]*$"""
+
+
 def quoted_value(line: Column, keys: list[str]) -> Column:
     """The trimmed quoted literal that a key is set to at the end of the line; null where it is no plain literal."""
     clean = F.regexp_replace(line, r"^[#;/*\s]+", "")
     raw = F.trim(F.regexp_extract(clean, r"(?i)(?:^|[^A-Za-z0-9_])(?:" + "|".join(keys) + r")\s*[:=]\s*(.*)$", 1))
-    shapes = [rf"^{q}([^{q}]*){q}\s*[,;)\]}}\s]*$" for q in "\"'`"]
-    value = F.coalesce(*[F.when(raw.rlike(s), F.regexp_extract(raw, s, 1)) for s in shapes])
-    return F.trim(value)
+    return F.when(raw.rlike(_LITERAL), F.trim(F.concat(*[F.regexp_extract(raw, _LITERAL, i) for i in (1, 2, 3)])))
 
 
-def sensitive_field(line: Column, marker: str = "skip-sensitive") -> Column:
-    """The first family of SENSITIVE_KEYS that the line sets to a literal that may be real; null for exempt and example lines."""
+def _family(values: list[Column]) -> Column:
+    """The first family of SENSITIVE_KEYS whose literal on a line, of those given in their order, may be real."""
     out = F.lit(None).cast("string")
-    for name, keys, least in reversed(SENSITIVE_KEYS):
-        value = quoted_value(line, keys)
+    for (name, _, least), value in reversed(list(zip(SENSITIVE_KEYS, values, strict=True))):
         real = (F.length(value) >= least) & ~value.rlike(r"\+|\$\{|[\x{4e00}-\x{9fff}]") & ~value.rlike(PLACEHOLDER)
         out = F.when(F.coalesce(real, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def sensitive_field(line: Column, marker: str = "skip-sensitive") -> Column:
+    """The first family of SENSITIVE_KEYS that the line sets to a literal that may be real; null for exempt and example lines."""
     exempt = line.rlike(f"(?i){marker}") | line.rlike(EXAMPLE_LINE)
-    return F.when(~exempt, out)
+    return F.when(~exempt, _family([quoted_value(line, keys) for _, keys, _ in SENSITIVE_KEYS]))
 
 
 def sensitive_lines(rows: DataFrame, key: str, text: str, marker: str = "skip-sensitive") -> DataFrame:
     """key, line_no and field of every line that sets a sensitive field."""
-    found = lines_of(rows, text, key).filter(F.col("line").rlike("[:=]"))
-    return found.select(key, "line_no", sensitive_field(F.col("line"), marker).alias("field")).filter("field IS NOT NULL")
+    lines = lines_of(rows, text, key).filter(F.col("line").rlike("[:=]") & ~F.col("line").rlike(f"(?i){marker}") & ~F.col("line").rlike(EXAMPLE_LINE))
+    # literals are columns of their own, so that each is made once
+    values = [quoted_value(F.col("line"), keys).alias(f"_v{i}") for i, (_, keys, _) in enumerate(SENSITIVE_KEYS)]
+    found = lines.select(key, "line_no", *values)
+    return found.select(key, "line_no", _family([F.col(f"_v{i}") for i in range(len(values))]).alias("field")).filter("field IS NOT NULL")
 
 
 def sensitive_name(path: Column) -> Column:
@@ -58,6 +67,41 @@ def sensitive_name(path: Column) -> Column:
     return out
 
 
+#: Endings of files that aren't read as text.
+BINARY = r"(?i)\.(png|jpe?g|gif|webp|bmp|ico|svg|zip|7z|rar|gz|tar|xz|pdf|exe|dll|so|dylib|bin|woff2?|ttf|otf|mp[34]|ogg|wav|flac|db|sqlite)$"
+
+
+def sensitive_files(files: DataFrame, path: str = "path", text: str = "text", marker: str = "skip-sensitive", most: int = 512 * 1024) -> DataFrame:
+    """path and fields of the files that hold something sensitive: "filename" alone where the name says it, else the families in the order of their first lines.
+
+    Files over `most` bytes, binary ones, and those whose first three lines carry the marker are left out.
+    """
+    named = F.coalesce(sensitive_name(F.col(path)), F.lit(False))
+    by_name = files.filter(named).select(path, F.array(F.lit("filename")).alias("fields"))
+    head = F.substring_index(F.coalesce(F.col(text), F.lit("")), "\n", 3)
+    read = files.filter(~named & ~F.col(path).rlike(BINARY) & (F.octet_length(text) <= most) & ~F.col(text).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") & ~head.rlike(f"(?i){marker}"))
+    first = sensitive_lines(read, path, text, marker).groupBy(path, "field").agg(F.min("line_no").alias("line_no"))
+    # as many fields as there are families at most
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "field"))), lambda x: x["field"])
+    return by_name.unionByName(first.groupBy(path).agg(fields.alias("fields")))
+
+
+# Rules that files of a kind may break on purpose: paths of the kind, words of the rules.
+CATEGORIES = [
+    (r"(^|/)test/", ["residue", "console-log", "sync-fs", "empty-catch", "performance"]),
+    (r"(^|/)(scripts/|cli\.mjs$)", ["residue", "console-log", "sync-fs"]),
+]
+
+
+def category_exempt(file: Column, rule: Column, kind: Column) -> Column:
+    """Whether a file's path and a word of the finding's rule or kind exempt it by category."""
+    target = F.lower(F.concat_ws(" ", F.coalesce(rule, F.lit("")), F.coalesce(kind, F.lit(""))))
+    out = F.lit(False)
+    for pattern, words in CATEGORIES:
+        out = out | (F.coalesce(file.cast("string"), F.lit("")).rlike(pattern) & target.rlike("|".join(words)))
+    return out
+
+
 # What each exemption marker covers: kinds, words that a rule must hold, words that it mustn't, whether a line may carry it.
 SECURITY_WORDS = ["security", "credential", "credref", "credfile", "secret", "password", "hardcoded"]
 STYLE_WORDS = ["min-length", "max-lines", "max-complexity", "max-depth", "min-occurrences", "repeated-string"]
@@ -89,12 +133,16 @@ def covers(kind: Column, rule: Column) -> Column:
 
 
 def exempt(findings: DataFrame, files: DataFrame, catalogue: DataFrame, file: str = "file", line: str = "line", text: str = "text") -> DataFrame:
-    """findings (id, file, line, kind, rule) with exempt: a covering marker stands in the file's first three lines or, if it may, on the line."""
-    joined = findings.join(files, file, "left").join(F.broadcast(catalogue), covers(F.col("kind"), F.col("rule")), "left")
+    """findings (id, file, line, kind, rule) with exempt: by category, or a covering marker stands in the file's first three lines or, if it may, on the line.
+
+    Texts meet the places of findings once, and leave with their head and the one line.
+    """
     rows = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    head = F.array_join(F.slice(rows, 1, 3), "\n")
-    here = F.coalesce(F.get(rows, F.col(line) - 1), F.lit(""))
-    hit = F.contains(head, F.col("marker")) | (F.col("on_line") & F.contains(here, F.col("marker")))
+    head, here = F.array_join(F.slice(rows, 1, 3), "\n"), F.coalesce(F.get(rows, F.col("_line") - 1), F.lit(""))
+    places = findings.select(file, F.col(line).alias("_line")).distinct()
+    read = places.join(files.select(file, text), file).select(F.col(file).alias("_file"), "_line", head.alias("_head"), here.alias("_here"))
+    joined = findings.join(read, (F.col(file) == F.col("_file")) & F.col(line).eqNullSafe(F.col("_line")), "left").join(F.broadcast(catalogue), covers(F.col("kind"), F.col("rule")), "left")
+    hit = F.contains("_head", F.col("marker")) | (F.col("on_line") & F.contains("_here", F.col("marker"))) | category_exempt(F.col(file), F.col("rule"), F.col("kind"))
     return joined.groupBy(*findings.columns).agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("exempt"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import changes, ordered, rollups, texts
+from . import changes, lookups, ordered, parsing, rollups, service, texts
 
-QUERIES = changes.QUERIES | rollups.QUERIES | ordered.QUERIES | texts.QUERIES
-ORACLES = changes.ORACLES | rollups.ORACLES | ordered.ORACLES | texts.ORACLES
+_PARTS = (changes, rollups, ordered, texts, parsing, service, lookups)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import chain, code, text
+from ..operators import chain, code, text, windows
 from ..sources import tables, tagged
 
 read = tables.read
@@ -70,10 +70,13 @@ def tagged_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 2 == 0, "feat").otherwise("")
-    items = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", strings.commit_title(kind, F.lower("p_brand"), F.col("p_name")).alias("title"), F.col("p_name").alias("what"), F.col("p_type").alias("why")))).alias("i"))
-    bullets = F.transform(F.slice("i", 2, 5), lambda x: F.concat(F.lit("- "), x["what"]))
-    whys = F.array_distinct(F.transform("i", lambda x: x["why"]))
-    return items.select("p_brand", F.get("i", F.lit(0))["title"].alias("title"), F.array_join(bullets, "\n").alias("bullets"), F.size(whys).alias("reasons"))
+    title = strings.commit_title(kind, F.lower("p_brand"), F.col("p_name")).alias("title")
+    # six rows of a brand are ranked before anything is gathered
+    first = windows.last_n(p.select("p_brand", "p_partkey", "p_name", title), "p_brand", 6, F.col("p_partkey"))
+    bullet = F.when(F.col("place") > 1, F.struct("place", F.concat(F.lit("- "), "p_name").alias("b")))
+    items = first.groupBy("p_brand").agg(F.max(F.when(F.col("place") == 1, F.col("title"))).alias("title"), F.array_sort(F.collect_list(bullet)).alias("b"))
+    reasons = p.groupBy("p_brand").agg(F.countDistinct("p_type").cast("int").alias("reasons"))
+    return items.join(reasons, "p_brand").select("p_brand", "title", F.array_join(F.transform("b", lambda x: x["b"]), "\n").alias("bullets"), "reasons")
 
 
 def git_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +120,7 @@ def function_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (sensitive_lines, exempt_findings, exempt_hints, url_parts, mask_url, first_paragraph, props_json, tagged_round_trip, commit_messages, git_dates, content_names, stage_receipts, function_extract)}
 
 
-def _sensitive_sql() -> str:
+def sensitive_case() -> str:
     """The families as CASE branches; RE2 has no back-references, so each kind of quote has its own branch."""
     branches = []
     for name, keys, least in text.SENSITIVE_KEYS:
@@ -126,11 +129,15 @@ def _sensitive_sql() -> str:
             value = f"trim(regexp_extract(c, '{pattern}', 1))"
             placeholder = text.PLACEHOLDER.replace("'", "''")
             branches.append(f"WHEN regexp_matches(c, '{pattern}') AND length({value}) >= {least} AND NOT regexp_matches({value}, '\\+|\\$\\{{') AND NOT regexp_matches({value}, '{placeholder}') THEN '{name}'")
+    return f"CASE {' '.join(branches)} END"
+
+
+def _sensitive_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '  password: ''' || doc_id || 'pw'',' || chr(10) || '# api_key = "<key>"' || chr(10) || 'cookie="a b"' ELSE '' END AS text FROM documents),
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM d),
 c AS (SELECT doc_id, line_no, regexp_replace(line, '^[#;/*\\s]+', '') AS c FROM l WHERE NOT regexp_matches(line, '(?i)skip-sensitive') AND NOT regexp_matches(line, '{text.EXAMPLE_LINE}')),
-f AS (SELECT doc_id, line_no::INT AS line_no, CASE {' '.join(branches)} END AS field FROM c)
+f AS (SELECT doc_id, line_no::INT AS line_no, {sensitive_case()} AS field FROM c)
 SELECT * FROM f WHERE field IS NOT NULL
 """
 
@@ -148,7 +155,7 @@ ORACLES = {
     "exempt_findings": f"""
 WITH {_markers_sql()},
 f AS (SELECT doc_id AS file, ['regex','semantic','func-lines','binary','max-depth'][doc_id % 5 + 1] AS kind, ['console-log','security/hardcoded','other'][doc_id % 3 + 1] AS rule,
-  string_split(coalesce(CASE doc_id % 4 WHEN 0 THEN '// skip-quality' || chr(10) || left(text, 200) WHEN 1 THEN 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd // skip-residue skip-sensitive' || chr(10) || 'e' ELSE left(text, 200) END, ''), chr(10)) AS r FROM documents)
+  string_split(coalesce(CASE doc_id % 4 WHEN 0 THEN '// skip-quality' || chr(10) || text WHEN 1 THEN 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd // skip-residue skip-sensitive' || chr(10) || 'e' || chr(10) || coalesce(text, '') ELSE text END, ''), chr(10)) AS r FROM documents)
 SELECT file, kind, rule, coalesce(bool_or(contains(array_to_string(r[1:3], chr(10)), m.marker) OR (m.on_line AND contains(coalesce(r[4], ''), m.marker))), false) AS exempt FROM f LEFT JOIN m ON {_COVERS.format(k='f.kind', r='f.rule')} GROUP BY 1, 2, 3
 """,
     "exempt_hints": f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..functions import paths
+from ..functions import paths, strings
 
 SKIPPED = ["node_modules"]
 
@@ -83,17 +83,18 @@ def repositories(spark: SparkSession, root: str, depth: int = 20, most: int = 20
 
 def probe_row(path: Column, branch: Column, remote: Column, porcelain: Column, last: Column, upstream: Column, counts: Column) -> Column:
     """A repository's row from the texts of its probes; ahead and behind stay null where they aren't known."""
-    number = lambda i: F.get(F.split(F.trim(counts), r"\s+"), F.lit(i)).try_cast("int")
+    number = lambda i: F.get(F.split(strings.stripped(counts), r"\s+"), F.lit(i)).try_cast("int")
     lines = F.filter(F.split(porcelain, "\n"), lambda s: F.trim(s) != "")
-    base = F.coalesce(F.nullif(F.trim(upstream), F.lit("")), F.concat(F.lit("origin/"), F.trim(branch)))
+    trim = strings.stripped
+    base = F.coalesce(F.nullif(trim(upstream), F.lit("")), F.concat(F.lit("origin/"), trim(branch)))
     return F.struct(
         paths.basename(path).alias("name"),
         path.alias("path"),
-        F.trim(branch).alias("branch"),
-        F.trim(remote).alias("remote"),
+        trim(branch).alias("branch"),
+        trim(remote).alias("remote"),
         F.size(lines).alias("changed"),
-        F.trim(last).alias("last_commit"),
-        (F.trim(F.coalesce(remote, F.lit(""))) != "").alias("has_remote"),
+        trim(last).alias("last_commit"),
+        (trim(F.coalesce(remote, F.lit(""))) != "").alias("has_remote"),
         base.alias("upstream"),
         number(0).alias("ahead"),
         number(1).alias("behind"),
