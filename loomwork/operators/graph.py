@@ -21,24 +21,57 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, parent: str = "src", c
     return seen
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """(v, p, w) of nodes with one parent, moved up until p is no such node: the number of rounds is the logarithm of the longest chain. Nodes of cycles stay among themselves."""
+    rounds = max(1, single.count()).bit_length() + 1
+    up = single
+    for _ in range(rounds):
+        above = up.select(F.col("v").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"))
+        step = pinned(up.join(above, "p", "left").select("v", F.coalesce("p2", "p").alias("p"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.col("p2").isNotNull().alias("moved")))
+        up = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            break
+    return up
+
+
 def layers(nodes: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """node and layer: one more than its highest parent's. Parents that aren't nodes count as there; nodes on or behind cycles get null.
 
-    Sorting by (layer nulls last, any order of one's own) puts parents before children. Each round
-    takes the nodes without open parents, so there are as many rounds as layers.
+    Sorting by (layer nulls last, any order of one's own) puts parents before children. A node with one
+    parent is a fixed number of steps below the first ancestor that has none or several, so that
+    chains are taken out at once, and again where many merges' parents meet in one ancestor. What is left
+    goes in rounds of those without open parents.
     """
-    links = pinned(edges.select(F.col(node), F.col(parent)).distinct().join(nodes.select(F.col(node).alias(parent)), parent, "left_semi"))
-    todo, done, layer = pinned(nodes.select(node).distinct()), None, 0
+    links = edges.select(F.col(node).alias("v"), F.col(parent).alias("p")).distinct().join(nodes.select(F.col(node).alias("p")).distinct(), "p", "left_semi")
+    work = pinned(links.select("v", "p", F.lit(1).cast("long").alias("w")))
+    every = pinned(nodes.select(F.col(node).alias("v")).distinct())
+    taken: list[DataFrame] = []
     while True:
-        ready = pinned(todo.join(links, node, "left_anti").withColumn("layer", F.lit(layer)))
+        count = pinned(work.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+        n_all, n_single = count.agg(F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
+        if n_single * 4 <= n_all:  # few are left to take out, none at last
+            break
+        single = pinned(work.join(count.filter("n = 1").select("v"), "v", "left_semi"))
+        chains = pinned(_chains(single))
+        taken.append(chains)
+        above = chains.select(F.col("v").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"))
+        merges = work.join(count.filter("n > 1").select("v"), "v", "left_semi").join(above, "p", "left")
+        work = pinned(merges.select("v", F.coalesce("p2", "p").alias("p"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")).groupBy("v", "p").agg(F.max("w").alias("w")))
+    below = work.select("v")
+    for chains in taken:
+        below = below.unionByName(chains.select("v"))
+    done = pinned(every.join(below, "v", "left_anti").select("v", F.lit(0).cast("long").alias("layer")))
+    while not work.isEmpty():
+        known = work.join(done.select(F.col("v").alias("p"), "layer"), "p", "left")
+        ready = known.groupBy("v").agg(F.max(F.col("layer") + F.col("w")).alias("layer"), F.count_if(F.col("layer").isNull()).alias("open")).filter(F.col("open") == 0)
+        ready = pinned(ready.select("v", "layer"))
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        todo = pinned(todo.join(ready, node, "left_anti"))
-        links = pinned(links.join(ready.select(F.col(node).alias(parent)), parent, "left_anti"))
-        layer += 1
-    rest = todo.withColumn("layer", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        done = pinned(done.unionByName(ready))
+        work = pinned(work.join(ready.select("v"), "v", "left_anti"))
+    for chains in reversed(taken):
+        done = pinned(done.unionByName(chains.join(done.select(F.col("v").alias("p"), "layer"), "p").select("v", (F.col("layer") + F.col("w")).alias("layer"))))
+    return every.join(done, "v", "left").select(F.col("v").alias(node), F.col("layer").cast("int").alias("layer"))
 
 
 def replay_plan(commits: DataFrame, sha: str = "sha", parents: str = "parents", seq: str = "seq") -> DataFrame:
