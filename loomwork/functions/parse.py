@@ -42,7 +42,7 @@ def tree_blobs(trees: DataFrame, text: str, *keep: str) -> DataFrame:
     return entries.filter("e.type = 'blob'").select(*keep, "e.path", "e.sha", F.coalesce("e.size", F.lit(0)).alias("size"))
 
 
-#: Manifests that hold a project's version, in the order in which they are looked for.
+# Manifests that hold a project's version, in the order in which they are looked for.
 MANIFESTS = ("package.json", "pyproject.toml", "Cargo.toml", "composer.json", "setup.cfg")
 
 
@@ -88,7 +88,7 @@ def version_mention(text: Column) -> Column:
     return F.regexp_extract(text, r"\bv?(\d+\.\d+\.\d+)\b", 1)
 
 
-#: The forms of a relative import: what comes before its quoted path.
+# The forms of a relative import, by what comes before its quoted path.
 IMPORTS = (r"from\s+", r"import\s*\(\s*", r"require\(\s*")
 
 

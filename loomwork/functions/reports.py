@@ -10,18 +10,24 @@ def _given(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) != ""
 
 
+# What a reason says of bad credentials, what an application's id looks like, which entries are for browsers.
+_BAD_CREDENTIALS = r"(?i)Bad credentials|credential|401\b"
+_CLIENT_ID = r"^[A-Za-z0-9._-]{8,120}$"
+_BROWSER = r"(?i)(^|/)client(/|\.js)?(/|$)|browser"
+
+
 def bad_credentials(reason: Column) -> Column:
-    return F.coalesce(reason, F.lit("")).rlike(r"(?i)Bad credentials|credential|401\b")
+    return F.coalesce(reason, F.lit("")).rlike(_BAD_CREDENTIALS)
 
 
 def client_id(value: Column) -> Column:
     """Whether a value can be the id of an authorised application."""
-    return F.trim(F.coalesce(value, F.lit(""))).rlike(r"^[A-Za-z0-9._-]{8,120}$")
+    return F.trim(F.coalesce(value, F.lit(""))).rlike(_CLIENT_ID)
 
 
 def browser_entry(key: Column) -> Column:
     """Whether a package's entry is meant for browsers."""
-    return F.regexp_replace(key, r"^\./", "").rlike(r"(?i)(^|/)client(/|\.js)?(/|$)|browser")
+    return F.regexp_replace(key, r"^\./", "").rlike(_BROWSER)
 
 
 def module_target(target: Column) -> Column:

@@ -67,7 +67,7 @@ def sensitive_name(path: Column) -> Column:
     return out
 
 
-#: Endings of files that aren't read as text.
+# Endings of files that aren't read as text.
 BINARY = r"(?i)\.(png|jpe?g|gif|webp|bmp|ico|svg|zip|7z|rar|gz|tar|xz|pdf|exe|dll|so|dylib|bin|woff2?|ttf|otf|mp[34]|ogg|wav|flac|db|sqlite)$"
 
 
