@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, topk, toxicity, url_rules
+from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, topk, toxicity, trie, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_topk": topk.op10_topk,
+    "op11_prefix_trie": trie.op11_prefix_trie,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_chat": chat.ORACLE,
     "op7_neardup": neardup.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
 }
