@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, topk, toxicity, trie, url_rules
+from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, spelling, topk, toxicity, trie, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_topk": topk.op10_topk,
     "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op7_neardup": neardup.ORACLE,
     "op10_topk": topk.ORACLE,
     "op11_prefix_trie": trie.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }
