@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, spelling, topk, toxicity, trie, url_rules
+from . import bpe, chat, decontaminate, neardup, pii, quality, secrets, setjoin, spelling, topk, toxicity, trie, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_spelling": spelling.op12_spelling,
+    "op13_jaccard_join": setjoin.op13_jaccard_join,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op10_topk": topk.ORACLE,
     "op11_prefix_trie": trie.ORACLE,
     "op12_spelling": spelling.ORACLE,
+    "op13_jaccard_join": setjoin.ORACLE,
 }
