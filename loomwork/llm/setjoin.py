@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, stored, table
-from .neardup import _mix, _salted, _verified, components, shingles
+from .common import shared_dir, slices, stored, table
+from .neardup import _LOW, _mix, _powers, _salted, _verified, components, shingles
 
 #: Sets of a group, and their tokens in all, unless one has more alone.
 GROUP, GROUP_TOKENS = 64, 500_000
@@ -39,10 +40,13 @@ LEADERS = 16
 HOT_DOCUMENTS, HOT_MOST = 32, 1_000_000
 #: Tokens of a partition that are counted at once.
 COUNTED = 2_000_000
+#: Bytes of texts that are hashed together.
+TOGETHER_BYTES = 1 << 20
 #: Queries that meet a group's union in one task.
 ASKING = 256
 
 _U = np.uint64
+_NOTHING = np.zeros(0, _U)
 
 
 def _linked(both: int, a: int, b: int, percent: int) -> bool:
@@ -60,55 +64,118 @@ def _least_shared(n: Column, percent: int) -> Column:
     return F.lit(1) + F.floor((n - F.ceil(n * percent / F.lit(100)) + 1) / 2)
 
 
-def _sorted_keys(size: int, percent: int):
-    """What a text is sorted by: size class, two least hashes, digest."""
-
-    def start():
-        def one(t: str | None):
-            own = shingles(t, size)
-            if not own.size:
-                return -1, 0, 0, 0, 0
-            digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            cls = int(math.log(len(own)) / math.log(100 / percent)) if percent < 100 else len(own)
-            second = int(_mix(own ^ _U(0x9E3779B97F4A7C15)).min())
-            return cls, int(own[0]) - 2**63, second - 2**63, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-
-        return one
-
-    return start
-
-
-def frequent_tokens(docs: DataFrame, size: int, documents: int = HOT_DOCUMENTS) -> np.ndarray:
-    """Tokens of many documents, as (token, rank) sorted by token; rank grows with the count.
-
-    Each task counts its documents in parts of COUNTED tokens and reports tokens seen twice there; a
-    token of a considerable share of all documents is. At most HOT_MOST reach the driver.
+_GROWN: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def word_hashes(b: np.ndarray, solid: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """neardup's hash of each word, from differences of running sums; solid marks bytes of words, first the first ones."""
+    begins = np.flatnonzero(first)
+    if not begins.size:
+        return _NOTHING
+    if not _GROWN:
+        base = int(_LOW[1])
+        _GROWN[0] = _powers(TOGETHER_BYTES + 1, base), _powers(TOGETHER_BYTES + 1, pow(base, -1, 1 << 64))
+    power, inverse = _GROWN[0]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
+    letters = b + np.uint8(1) + ((b >= 65) & (b <= 90)).view(np.uint8) * np.uint8(32)  # no byte of UTF-8 is 255
+    sums = np.zeros(len(b) + 1, _U)
+    np.cumsum(letters * power[: len(b)], out=sums[1:])
+    return _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(_U))
+
+
+def shingle_sets(texts, size: int) -> list[np.ndarray]:
+    """neardup.shingles() of each text of an Arrow string array, hashed together; a long text goes alone, in chunks."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if len(texts) < 2 or ends[-1] - ends[0] > TOGETHER_BYTES:
+        return [shingles(t.as_py(), size) for t in texts]
+    data = texts.buffers()[2]
+    b = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    begins_at = ends[:-1] - ends[0]
+    solid = (b != 32) & ((b < 9) | (b > 13))
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    heads = begins_at[begins_at < len(b)]
+    first[heads] = solid[heads]
+    words, starts = word_hashes(b, solid, first), np.flatnonzero(first)
+    owner = np.searchsorted(begins_at, starts, "right") - 1  # of equal begins the last one, which has the bytes
+    last = len(words) - size + 1
+    out: list = [_NOTHING] * len(texts)
+    count = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
+    if last > 0:
+        total = np.zeros(last, _U)
+        for j in range(size):
+            total = (total ^ words[j : last + j]) * _U(0xD6E8FEB86659FD93) + _U(size)
+            total ^= total >> _U(32)
+        whole = owner[:last] == owner[size - 1 :]
+        total, of = _mix(total[whole]), owner[:last][whole]
+        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            total[cuts[k] : cuts[k + 1]].sort()
+        new = np.ones(len(total), bool)
+        new[1:] = (total[1:] != total[:-1]) | (of[1:] != of[:-1])
+        kept, of = total[new], of[new]
+        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            out[k] = kept[cuts[k] : cuts[k + 1]]
+    for k in np.flatnonzero((count > 0) & (count < size)):
+        out[k] = shingles(texts[int(k)].as_py(), size)
+    return out
+
+
+def _keys(size: int, percent: int):
+    """Rows by kind: 0 a document and what it is sorted by (size class, two least hashes, digest), 1 a token and in how many documents of a part it is.
+
+    Tokens are counted in parts of COUNTED, and those seen once there aren't reported; a token of a
+    considerable share of all documents is.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        held, n = [], 0
+        names = ["kind", "doc_id", "text", "cls", "m1", "m2", "d1", "d2", "token", "n"]
+        held, count = [], 0
 
         def flush():
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            some = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=["token", "n"])
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times > 1
+            n = int(some.sum())
+            nulls = [pa.nulls(n, t) for t in (ids, pa.large_string() if big else pa.string(), pa.int32(), *[pa.int64()] * 4)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *nulls, pa.array(token[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=names)
 
         for whole in batches:
-            for batch in slices(whole, 0):
-                for t in batch.column(0):
-                    own = shingles(t.as_py(), size)
-                    if own.size:
-                        held.append(own)
-                        n += len(own)
-                    if n >= COUNTED:
-                        yield flush()
-                        held, n = [], 0
+            ids, big = whole.schema.field("doc_id").type, pa.types.is_large_string(whole.schema.field("text").type)
+            for batch in slices(whole, whole.schema.get_field_index("text"), TOGETHER_BYTES):
+                rows = []
+                for own in shingle_sets(batch.column("text"), size):
+                    if not own.size:
+                        rows.append((-1, 0, 0, 0, 0))
+                        continue
+                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    cls = int(math.log(len(own)) / math.log(100 / percent)) if percent < 100 else len(own)
+                    second = int(_mix(own ^ _U(0x9E3779B97F4A7C15)).min())
+                    rows.append((cls, int(own[0]) - 2**63, second - 2**63, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+                    held.append(own)
+                    count += len(own)
+                n = batch.num_rows
+                made = [pa.array(column, pa.int32() if k == 0 else pa.int64()) for k, column in enumerate(zip(*rows, strict=True))] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.int64())] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), batch.column("text"), *made, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                if count >= COUNTED:
+                    yield flush()
+                    held, count = [], 0
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return run
+
+
+def frequent_tokens(keys: DataFrame, documents: int = HOT_DOCUMENTS) -> np.ndarray:
+    """Tokens of many documents, as (token, rank) sorted by token; rank grows with the count. At most HOT_MOST reach the driver."""
+    counted = keys.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.filter(F.col("n") >= documents).orderBy(F.desc("n"), "token").limit(HOT_MOST).toPandas()
     tokens = top["token"].to_numpy(dtype=np.int64).view(_U)
     ranks = np.arange(len(tokens))[::-1].astype(_U)
@@ -149,18 +216,37 @@ def inner_overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out + shared
 
 
-_MADE = "kind int, gid long, id long, member long, other long, d1 long, d2 long, n long, low long, high long, lead array<long>, tokens array<int>"
+def packed(tokens: np.ndarray) -> tuple[int, bytes]:
+    """A sorted set of hashes as bits and steps of two bytes: their leading bits alone, and more than they are where a step would be longer. What it contains, the set may; what it doesn't, the set doesn't."""
+    bits = min(48, max(16, 13 + len(tokens).bit_length()))
+    values = np.unique(tokens >> _U(64 - bits)).astype(np.int64)
+    steps = np.diff(values, prepend=0)
+    more = np.maximum(steps - 1, 0) // 65535
+    place = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    fillers = np.repeat(values - steps, more) + 65535 * place
+    return bits, np.diff(np.sort(np.concatenate([values, fillers])), prepend=0).astype(np.uint16).tobytes()
+
+
+def contained(own: np.ndarray, bits: int, steps: bytes) -> int:
+    """How many of the hashes a packed set may contain."""
+    values = np.cumsum(np.frombuffer(steps, np.uint16).astype(np.int64))
+    asked = (own >> _U(64 - bits)).astype(np.int64)
+    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    return int((values[at] == asked).sum())
+
+
+_MADE = "kind int, gid long, id long, member long, other long, d1 long, d2 long, n long, low long, high long, lead array<long>, bits int, tokens binary"
 
 
 def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
-    """Cuts sorted rows into groups. Kinds of rows: 0 a document and its member, 1 a link, 2 a member and its leading tokens, 3 a group and the union of its tokens (32 bits of each)."""
+    """Cuts sorted rows into groups. Kinds of rows: 0 a document and its member, 1 a link, 2 a member and its leading tokens, 3 a group and the union of its tokens."""
 
     def run(batches):
         import pyarrow as pa
 
         frequent = hot.value
         out = {f.split()[0]: [] for f in _MADE.split(", ")}
-        types = {"kind": pa.int32(), "lead": pa.list_(pa.int64()), "tokens": pa.list_(pa.int32())}
+        types = {"kind": pa.int32(), "lead": pa.list_(pa.int64()), "bits": pa.int32(), "tokens": pa.binary()}
         state = {"gid": TaskContext.get().partitionId() << 32, "held": 0}
         members: list[tuple] = []  # id, digest, set
         run_of, leaders = None, []  # class and least hash; leaders of their run of groups
@@ -169,7 +255,7 @@ def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
         def put(**x):
             for name, column in out.items():
                 column.append(x.get(name))
-            state["held"] += 1 + len(x.get("lead", ())) + len(x.get("tokens", ()))
+            state["held"] += 1 + len(x.get("lead", ())) + len(x.get("tokens", ())) // 8
 
         def batch():
             arrays = [pa.array(column, types.get(name, pa.int64())) for name, column in out.items()]
@@ -210,22 +296,19 @@ def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
             low, high = min(map(len, sets)), max(map(len, sets))
             for (ident, digest, own) in members:
                 put(kind=2, gid=gid, id=ident, d1=digest[0], d2=digest[1], n=len(own), low=low, high=high, lead=leading(own, frequent, percent).view(np.int64))
-            union = np.unique(np.concatenate(sets).astype(np.uint32))
-            put(kind=3, gid=gid, low=low, high=high, tokens=union.view(np.int32))
+            bits, steps = packed(np.unique(np.concatenate(sets)))
+            put(kind=3, gid=gid, low=low, high=high, bits=bits, tokens=steps)
             members.clear()
 
         total = 0
         for whole in batches:
-            names = whole.schema.names
-            for part in slices(whole, names.index("text")):
-                ids, texts, cls, d1, d2 = (part.column(names.index(c)) for c in ("doc_id", "text", "cls", "d1", "d2"))
-                for k in range(part.num_rows):
-                    ident, c, digest = ids[k].as_py(), cls[k].as_py(), (d1[k].as_py(), d2[k].as_py())
+            for part in slices(whole, whole.schema.get_field_index("text"), TOGETHER_BYTES):
+                ids, cls, d1, d2 = (part.column(c).to_pylist() for c in ("doc_id", "cls", "d1", "d2"))
+                for ident, c, digest, own in zip(ids, cls, zip(d1, d2, strict=True), shingle_sets(part.column("text"), size), strict=True):
                     if ident is None or c < 0:
-                        put(kind=0, id=ident, n=0 if c < 0 else len(shingles(texts[k].as_py(), size)))
+                        put(kind=0, id=ident, n=len(own))
                         continue
                     if digest != last_digest or c != last_cls:
-                        own = shingles(texts[k].as_py(), size)
                         if c != last_cls or len(members) >= most or total + len(own) > GROUP_TOKENS:
                             close()
                             total = 0
@@ -234,8 +317,8 @@ def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
                                 leaders.clear()
                         members.append((ident, digest, own))
                         total += len(own)
-                        last_digest, last_member, last_cls, last_n = digest, ident, c, len(own)
-                    put(kind=0, id=ident, member=last_member, n=last_n)
+                        last_digest, last_member, last_cls = digest, ident, c
+                    put(kind=0, id=ident, member=last_member, n=len(own))
                     if state["held"] > 1_000_000:
                         yield batch()
         close()
@@ -244,17 +327,39 @@ def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
     return run
 
 
+def _shared(batches):
+    """Of (token, gid, id) sorted by token and gid, the rows of tokens that several groups have. A token's rows are held until a second group comes."""
+    import pyarrow as pa
+
+    names, kept, mixed = ["token", "gid", "id"], None, False  # rows of the last token so far, if not passed on; whether they are
+    for whole in batches:
+        token, gid, ident = (whole.column(c).to_numpy() for c in names)
+        if not len(token):
+            continue
+        if kept is not None and len(kept[0]):
+            token, gid, ident = (np.concatenate(x) for x in zip(kept, (token, gid, ident), strict=True))
+        elif kept is not None and mixed and token[0] != last:
+            mixed = False
+        begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        several = np.minimum.reduceat(gid, begins) != np.maximum.reduceat(gid, begins)
+        if mixed and kept is not None and token[0] == last:
+            several[0] = True
+        times = np.diff(np.append(begins, len(token)))
+        passed = np.repeat(several, times)
+        last, mixed = token[-1], bool(several[-1])
+        open_ = slice(len(token), len(token)) if mixed else slice(begins[-1], len(token))
+        kept = (token[open_], gid[open_], ident[open_])
+        yield pa.RecordBatch.from_arrays([pa.array(x[passed]) for x in (token, gid, ident)], names=names)
+
+
 def _bounded(size: int, percent: int):
     def run(asked: pd.DataFrame, unions: pd.DataFrame) -> pd.DataFrame:
         """(id, gid) of the queries whose similarity to some member of the group may suffice."""
         kept = []
-        for gid, low, high, union in zip(unions["gid"], unions["low"], unions["high"], unions["tokens"], strict=True):
-            tokens = np.asarray(union, np.int32).view(np.uint32)
+        for gid, low, high, bits, steps in zip(*[unions[c] for c in ("gid", "low", "high", "bits", "tokens")], strict=True):
             for ident, text in zip(asked["id"], asked["text"], strict=True):
                 own = shingles(text, size)
-                n, narrow = len(own), own.astype(np.uint32)
-                at = np.minimum(np.searchsorted(tokens, narrow), len(tokens) - 1)
-                both = int((tokens[at] == narrow).sum())
+                n, both = len(own), contained(own, bits, steps)
                 # the best member has the shared tokens and, if it must be larger, some of its own
                 best = (min(both, high), max(n, 1)) if both >= low else (both, n + low - both)
                 if 100 * best[0] >= percent * best[1]:
@@ -270,27 +375,26 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
 
 
-def _opened(asking: DataFrame, members: DataFrame, unions: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of queries with members of other components in the groups that they ask, given as (id, gid): bounds first, then full sets."""
-    asking = stored(asking, "setjoin-asking")
-    texts = _texts(docs, asking.select("id").distinct())
+def _opened(asking: DataFrame, entries: DataFrame, members: DataFrame, unions: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of queries with members of larger components in the groups that they ask, given as (id, gid): bounds first, then full sets.
+
+    Only members that share leading tokens with something are verified: no other can link.
+    """
     plan = asking.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
     queries = _salted(asking, texts, "id", "gid").select("id", "gid", "text")
     queries = _salted(queries, plan, "gid", "id").select("id", "gid", "text", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    matrix = unions.join(plan, "gid").select("gid", "low", "high", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    matrix = unions.join(plan, "gid").select("gid", "low", "high", "bits", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     by = ["gid", "block"]
     open_ = queries.groupBy(*by).cogroup(matrix.groupBy(*by)).applyInPandas(_bounded(size, percent), "id long, gid long")
     open_ = stored(open_.distinct(), "setjoin-open")
 
-    known = members.select("id", "n", "label", "weight")
-    who = _salted(open_, known.distinct(), "id", "gid").select("id", "gid", F.col("n").alias("own"), F.col("label").alias("own_label"), F.col("weight").alias("own_weight"))
+    known = members.select("id", F.col("n").alias("own"), F.col("label").alias("own_label"), F.col("weight").alias("own_weight")).distinct()
+    who = _salted(open_, known, "id", "gid")
     fits = (100 * F.least("n", "own") >= percent * F.greatest("n", "own")) & (F.col("label") != F.col("own_label"))
     larger = (F.col("weight") > F.col("own_weight")) | ((F.col("weight") == F.col("own_weight")) & (F.col("label") > F.col("own_label")))
-    inside = members.select("gid", F.col("id").alias("a"), "n", "label", "weight")
-    pairs = who.join(inside, "gid").filter(fits & larger).select("a", F.col("id").alias("b")).distinct()
-    pairs = stored(pairs, "setjoin-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return stored(_verified(pairs, _texts(docs, ids), size, percent), "setjoin-links")
+    inside = entries.select("gid", F.col("id").alias("a"), "n", "label", "weight").distinct()
+    pairs = stored(who.join(inside, "gid").filter(fits & larger).select("a", F.col("id").alias("b")).distinct(), "setjoin-pairs")
+    return stored(_verified(pairs, texts, size, percent), "setjoin-links")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", group: int = GROUP, leaders: int = LEADERS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
@@ -303,14 +407,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     group, leaders and hot_documents move work; results don't depend on them.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size, hot_documents))
-    keyed = map_texts(docs, "text", ["doc_id", "text"], "cls int, m1 long, m2 long, d1 long, d2 long", _sorted_keys(size, percent))
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keys_at = f"{shared_dir(spark)}/loomwork/setjoin-keys-{uuid.uuid4().hex}"
+    keys = docs.mapInArrow(_keys(size, percent), f"kind int, doc_id {kind}, text string, cls int, m1 long, m2 long, d1 long, d2 long, token long, n long")
+    keys.write.parquet(keys_at)
+    keys = spark.read.schema(keys.schema).parquet(keys_at)
+    hot = spark.sparkContext.broadcast(frequent_tokens(keys, hot_documents))
     order = ["cls", "m1", "m2", "d1", "d2", "doc_id"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = keys.filter("kind = 0").select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
     made = stored(ranged.mapInArrow(_grouped(size, percent, hot, group, leaders), _MADE), "setjoin-groups")
-    kind = lambda k: made.filter(F.col("kind") == k)
-    rows, links = kind(0).select("id", "member", "n"), kind(1).select(F.col("member").alias("a"), F.col("other").alias("b"))
-    members, unions = kind(2).select("gid", "id", "n", "low", "high", "d1", "d2"), kind(3).select("gid", "low", "high", "tokens")
+    _gone(spark, keys_at)
+    of = lambda k: made.filter(F.col("kind") == k)
+    rows, links = of(0).select("id", "member", "n"), of(1).select(F.col("member").alias("a"), F.col("other").alias("b"))
+    members, unions = of(2).select("gid", "id", "n", "low", "high", "d1", "d2"), of(3).select("gid", "low", "high", "bits", "tokens")
 
     # equal sets of several partitions, and several sets of one id
     firsts = members.groupBy("d1", "d2").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").drop("z")
@@ -320,18 +430,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     links = stored(links, "setjoin-links")
 
     # the matrix: leading tokens that several groups have
-    entries = kind(2).select("gid", "id", "n", "low", "high", F.explode("lead").alias("token"))
-    several = entries.groupBy("token").agg(F.min("gid").alias("a"), F.max("gid").alias("z")).filter("a <> z").select("token")
-    entries = stored(entries.join(several, "token"), "setjoin-matrix")
+    entries = of(2).select(F.explode("lead").alias("token"), "gid", "id")
+    entries = entries.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(_shared, "token long, gid long, id long")
+    entries = stored(entries, "setjoin-matrix").join(members.select("gid", "id", "n", "low", "high"), ["gid", "id"])
 
-    everything = links
+    everything, texts = links, None
     for step in ("representatives", "all"):
         labels = components(everything)
         weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
         labels = stored(_salted(labels, weights, "label", "id"), "setjoin-labels")
-        named = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-        found = _opened(_asking(stored(named(entries), "setjoin-named"), percent, step), named(members), unions, docs, size, percent)
-        everything = everything.unionByName(found)
+        named = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("weight", F.coalesce("weight", F.lit(1)))  # noqa: E731, B023
+        mixed = stored(_several_labels(named(entries)), "setjoin-mixed")
+        if texts is None:  # of all that may ask or be asked
+            texts = stored(_texts(docs, mixed.select("id").distinct()), "setjoin-texts")
+        asking = stored(_asking(mixed, percent, step), "setjoin-asking")
+        everything = everything.unionByName(_opened(asking, mixed, named(members), unions, texts, size, percent))
     labels = components(everything)
     out = _salted(rows.filter("member IS NOT NULL"), labels.select(F.col("id").alias("member"), "label"), "member", "id", "left")
     out = out.select("id", "n", F.coalesce("label", "member").alias("c"))
@@ -339,6 +452,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder from which a later one has been stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _several_labels(entries: DataFrame) -> DataFrame:
+    """The entries of tokens whose sets are of several components."""
+    several = entries.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("token")
+    return entries.join(several, "token")
+
+
 def _asking(entries: DataFrame, percent: int, step: str) -> DataFrame:
     """(id, gid): the groups that a set asks, for they share enough of its leading tokens and hold members of larger components, by weight and label.
 
@@ -346,8 +471,6 @@ def _asking(entries: DataFrame, percent: int, step: str) -> DataFrame:
     largest component. This merges what is alike before all sets ask all groups.
     """
     rank = F.struct("weight", "label")
-    mixed = entries.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("token")
-    entries = entries.join(mixed, "token")
     fits = (100 * F.least(F.col("n"), F.col("high")) >= percent * F.greatest(F.col("n"), F.col("low"))) & (F.col("gid") != F.col("own"))
     if step == "representatives":
         pick = F.xxhash64("id", "token")

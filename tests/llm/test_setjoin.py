@@ -98,3 +98,27 @@ def test_inner_overlaps_are_the_sizes_of_intersections():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9000, s).astype(np.uint64)) for s in (1, 50, 5000, 9000, 8000)]
     assert setjoin.inner_overlaps(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
+def test_texts_are_hashed_together_as_they_are_alone():
+    import pyarrow as pa
+
+    from loomwork.llm import neardup
+
+    rng = random.Random(6)
+    texts = ["", None, "a", " a b", "a b c d", None, "x" * 5000, "", "Äb\tcd\x0bé", "ef GH ij kl", ""]
+    texts += ["".join(rng.choice("ab \n") for _ in range(rng.randrange(60))) for _ in range(200)]
+    column = pa.array(texts)
+    for size in (1, 3, 5):
+        for part in (column, column.slice(3, 90), column.slice(1, 1), pa.array(["x y " * 300_000, "a b c"])):
+            got = setjoin.shingle_sets(part, size)
+            assert all(np.array_equal(a, neardup.shingles(t.as_py(), size)) for a, t in zip(got, part, strict=True))
+
+
+def test_packed_sets_contain_what_they_must():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 100, 5000):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        bits, steps = setjoin.packed(own)
+        assert setjoin.contained(own, bits, steps) == len(own)
+        assert setjoin.contained(rng.integers(0, 1 << 63, 3000).astype(np.uint64), bits, steps) < 30
