@@ -42,19 +42,23 @@ def push_failure(text: Column, status: Column | None = None, no_remote: Column |
     return F.struct(code.alias("code"), F.left(flat, F.lit(400)).alias("fact"), confidence.alias("confidence"))
 
 
-def run_summary(runs: DataFrame, by: list[str], status: Column, conclusion: Column, name: str, most_names: int = 1_000) -> DataFrame:
-    """total, pending, failing, ok, conclusion and the names of failing runs, the first most_names by name. No runs: none; any pending: pending; any failing: failure."""
-    pending, fine = status != "completed", conclusion.isin("success", "neutral", "skipped")
+def failing_runs(runs: DataFrame, by: list[str], status: Column, conclusion: Column, name: str) -> DataFrame:
+    """by and name of each failing run, a row each: for groups of any number of them."""
+    fine = F.coalesce(conclusion.isin("success", "neutral", "skipped"), F.lit(False))
+    return runs.filter((F.coalesce(status, F.lit("")).isin("completed", "")) & ~fine).select(*by, name)
+
+
+def run_summary(runs: DataFrame, by: list[str], status: Column, conclusion: Column, name: str) -> DataFrame:
+    """total, pending, failing, ok, conclusion and the names of all failing runs, by name. No runs: none; any pending: pending; any failing: failure. failing_runs() has them as rows."""
+    pending, fine = F.coalesce((status != "completed") & (status != ""), F.lit(False)), conclusion.isin("success", "neutral", "skipped")
     one = runs.select(*by, F.col(name).alias("_name"), pending.alias("_pending"), (~pending & ~F.coalesce(fine, F.lit(False))).alias("_failing"))
     out = one.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("_pending").alias("pending"),
         F.count_if("_failing").alias("failing"),
     )
-    # names are gathered of few failing runs alone, not of all runs of a group
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_name"))
-    names = one.filter("_failing").select(*by, "_name", place.alias("_n")).filter(F.col("_n") <= most_names)
-    names = names.groupBy(*by).agg(F.array_sort(F.collect_list("_name")).alias("failing_runs"))
+    # names are gathered of failing runs alone, not of all runs of a group
+    names = one.filter("_failing").groupBy(*by).agg(F.array_sort(F.collect_list("_name")).alias("failing_runs"))
     out = out.join(names, by, "left").withColumn("failing_runs", F.coalesce("failing_runs", F.array().cast("array<string>")))
     verdict = F.when(F.col("total") == 0, "none").when(F.col("pending") > 0, "pending").when(F.col("failing") > 0, "failure").otherwise("success")
     return out.withColumn("ok", F.col("total") - F.col("pending") - F.col("failing")).withColumn("conclusion", verdict)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import pinned
@@ -10,6 +10,7 @@ from ..sources.shared import pinned
 
 def reach(edges: DataFrame, start: DataFrame, depth: int, parent: str = "src", child: str = "dst", node: str = "node") -> DataFrame:
     """node and its least distance from the start nodes, up to depth steps along the edges. Cycles are harmless."""
+    edges = pinned(edges.select(parent, child))  # else each step would make them anew
     seen = start.select(F.col(node)).distinct().withColumn("distance", F.lit(0))
     front = seen
     for step in range(1, depth + 1):
@@ -21,6 +22,72 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, parent: str = "src", c
     return seen
 
 
+def walk(starts: DataFrame, parents: DataFrame, most: int) -> DataFrame:
+    """root, node, place and truncated: the first `most` nodes that a queue would visit from each start (root, node), parents (node, ord, parent) in their order.
+
+    Places count from 1 in queue order. truncated says for all rows of a root whether something still
+    stood in its queue when the last place was given, seen or not. Levels are taken together: the
+    next level's order is that of the first place and ord from which a node is named, and no more
+    of a root's level is kept than there are places left. Cycles and several ways to a node are harmless.
+    """
+    parents = pinned(parents.select("node", "ord", "parent"))
+    named = F.min(F.struct("via", "ord")).alias("by")
+    front = starts.select("root", "node").distinct().select("root", "node", F.struct(F.lit(0).cast("long").alias("via"), F.lit(0).cast("long").alias("ord")).alias("by"))
+    seen, counts = None, None
+    while True:
+        order = F.row_number().over(Window.partitionBy("root").orderBy("by", "node"))
+        front = front if counts is None else front.join(counts, "root", "left")
+        before = F.lit(0) if counts is None else F.coalesce("had", F.lit(0))
+        front = front.withColumn("n", order).withColumn("place", (F.col("n") + before).cast("long"))
+        front = pinned(front.filter(F.col("place") <= most).select("root", "node", "place", "by"))
+        if front.isEmpty():
+            break
+        seen = front if seen is None else pinned(seen.unionByName(front))
+        counts = seen.groupBy("root").agg(F.max("place").alias("had"))
+        following = front.select("root", F.col("place").alias("via"), "node").join(parents, "node").select("root", "via", F.col("ord").cast("long").alias("ord"), F.col("parent").alias("node"))
+        front = following.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(named)
+    if seen is None:
+        return starts.select("root", "node", F.lit(0).cast("long").alias("place"), F.lit(False).alias("truncated")).limit(0)
+    last = seen.filter(F.col("place") == most).select("root", F.col("by").alias("last_by"))
+    pushed = seen.select("root", F.col("place").alias("via"), "node").join(parents, "node").join(last, "root")
+    placed = seen.select("root", F.col("node").alias("parent"), F.col("place").alias("own"))
+    queued = pushed.join(placed, ["root", "parent"], "left").filter(F.col("own").isNull() | (F.col("own") > F.col("via")))
+    behind = (F.col("via") > F.col("last_by.via")) | ((F.col("via") == F.col("last_by.via")) & (F.col("ord") > F.col("last_by.ord")))
+    cut = queued.filter(behind).select("root", F.lit(True).alias("cut")).distinct()
+    return seen.join(cut, "root", "left").select("root", "node", "place", F.coalesce("cut", F.lit(False)).alias("truncated"))
+
+
+def closures(edges: DataFrame, entries: DataFrame, src: str = "src", dst: str = "dst", entry: str = "entry") -> DataFrame:
+    """(entry, node): for each entry all that is reached from it, itself included. Cycles are harmless.
+
+    Each round follows the edges of what the last one found first, so every pair is made once for
+    each way of its last step, and there are as many rounds as the farthest node has steps.
+    """
+    edges = pinned(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct())
+    front = pinned(entries.select(F.col(entry).alias("entry"), F.col(entry).alias("node")).distinct())
+    seen = front
+    while True:
+        following = front.join(edges, "node").select("entry", F.col("next").alias("node")).distinct()
+        front = pinned(following.join(seen, ["entry", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen.withColumnRenamed("entry", entry)
+        seen = pinned(seen.unionByName(front))
+
+
+def closure_keys(files: DataFrame, edges: DataFrame, entries: DataFrame, salt: str = "", path: str = "path", text: str = "text", entry: str = "entry") -> DataFrame:
+    """entry, files, key and self of each entry: how many files its closure has, a digest of their sorted paths and contents, and one of its own content.
+
+    The key changes when any file of the closure does, and with the salt (of a runtime or a format).
+    Texts stay where they are: closures are joined with digests. Entries that aren't files have a key of none.
+    """
+    digests = files.select(F.col(path).alias("node"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
+    pairs = closures(edges, entries, entry=entry).join(digests, "node", "left")
+    line = F.concat(F.col("node"), F.lit("\n"), F.coalesce("sha", F.lit("<missing>")), F.lit("\n"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", line.alias("line")))), lambda x: x["line"]), "")
+    own = F.max(F.when(F.col("node") == F.col(entry), F.col("sha")))
+    return pairs.groupBy(entry).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.concat(F.lit(salt + "\n"), listed), 256).alias("key"), own.alias("self"))
+
+
 def _chains(single: DataFrame) -> DataFrame:
     """(v, p, w) of nodes with one parent, moved up until p is no such node: the number of rounds is the logarithm of the longest chain. Nodes of cycles stay among themselves."""
     rounds = max(1, single.count()).bit_length() + 1

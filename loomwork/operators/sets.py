@@ -15,9 +15,10 @@ def membership(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def hit_sides(rows: DataFrame, left: str, right: str, wanted: DataFrame, key: str) -> DataFrame:
     """Rows where either column is wanted, with side both, left or right. Case doesn't count in strings."""
-    w = wanted.select(F.col(key).alias("_w")).distinct()
+    same = lambda df, c: F.lower(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c)
+    w = wanted.select(same(wanted, key).alias("_w")).distinct()
     a, b = w.withColumn("_a", F.lit(True)), w.withColumnRenamed("_w", "_v").withColumn("_b", F.lit(True))
-    joined = rows.join(a, F.col(left) == F.col("_w"), "left").join(b, F.col(right) == F.col("_v"), "left")
+    joined = rows.join(a, same(rows, left) == F.col("_w"), "left").join(b, same(rows, right) == F.col("_v"), "left")
     side = F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "left").when(F.col("_b"), "right")
     return joined.select(*[F.col(c) for c in rows.columns], side.alias("side")).filter("side IS NOT NULL")
 

@@ -16,7 +16,7 @@ SENSITIVE_KEYS = [
 # Literals that stand for a secret and are none, lines that give examples, and file names that are secrets by themselves.
 PLACEHOLDER = r"(?i)^(your[-_ ]?[a-z]+|xxx+\.?\.?|example|changeme|dummy|sample|demo|placeholder|<[^>]+>|\$\{?[A-Z_][A-Z0-9_]*}?|process\.env\.[A-Z_]+|env\.[A-Z_]+|undefined|null|true|false)$"
 EXAMPLE_LINE = r"(?i)(例如|举例|示例|样例|演示|比如|fake|sample|demo|example|illustration)"
-SENSITIVE_NAMES = [".env", ".env.local", "id_rsa", "id_ed25519", "id_ecdsa", "*.pem", "*.key"]
+SENSITIVE_NAMES = [".env", ".env.local", "github-token", "id_rsa", "id_ed25519", "id_ecdsa", "*.pem", "*.key"]
 
 
 def lines_of(rows: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -58,10 +58,12 @@ def sensitive_lines(rows: DataFrame, key: str, text: str, marker: str = "skip-se
     return found.select(key, "line_no", _family([F.col(f"_v{i}") for i in range(len(values))]).alias("field")).filter("field IS NOT NULL")
 
 
-def sensitive_name(path: Column) -> Column:
+def sensitive_name(path: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether a file's name is one of SENSITIVE_NAMES, or of more: the names under which a user's own tools keep tokens."""
+    every = [*SENSITIVE_NAMES, *more]
     name = F.element_at(F.split(path, "/"), -1)
-    out = name.isin([n for n in SENSITIVE_NAMES if not n.startswith("*")])
-    for n in SENSITIVE_NAMES:
+    out = name.isin([n for n in every if not n.startswith("*")])
+    for n in every:
         if n.startswith("*"):
             out = out | name.endswith(n[1:])
     return out
@@ -71,12 +73,12 @@ def sensitive_name(path: Column) -> Column:
 BINARY = r"(?i)\.(png|jpe?g|gif|webp|bmp|ico|svg|zip|7z|rar|gz|tar|xz|pdf|exe|dll|so|dylib|bin|woff2?|ttf|otf|mp[34]|ogg|wav|flac|db|sqlite)$"
 
 
-def sensitive_files(files: DataFrame, path: str = "path", text: str = "text", marker: str = "skip-sensitive", most: int = 512 * 1024) -> DataFrame:
+def sensitive_files(files: DataFrame, path: str = "path", text: str = "text", marker: str = "skip-sensitive", most: int = 512 * 1024, more_names: tuple[str, ...] = ()) -> DataFrame:
     """path and fields of the files that hold something sensitive: "filename" alone where the name says it, else the families in the order of their first lines.
 
     Files over `most` bytes, binary ones, and those whose first three lines carry the marker are left out.
     """
-    named = F.coalesce(sensitive_name(F.col(path)), F.lit(False))
+    named = F.coalesce(sensitive_name(F.col(path), more_names), F.lit(False))
     by_name = files.filter(named).select(path, F.array(F.lit("filename")).alias("fields"))
     head = F.substring_index(F.coalesce(F.col(text), F.lit("")), "\n", 3)
     read = files.filter(~named & ~F.col(path).rlike(BINARY) & (F.octet_length(text) <= most) & ~F.col(text).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") & ~head.rlike(f"(?i){marker}"))

@@ -102,9 +102,13 @@ def set_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_hit_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("author"), (F.col("c_custkey") % 25).cast("int").alias("committer"))
-    wrong = read(spark, sf_dir, "nation").filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").alias("wrong"))
-    return sets.hit_sides(c, "author", "committer", wrong, "wrong").select("c_custkey", "side")
+    """Orders whose queue's or whose customer's address is one of those to be replaced, which are given in another case."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    address = F.concat(F.replace("c_name", F.lit("Customer#"), F.lit("Mail")), F.lit("@"), F.initcap("c_mktsegment"), F.lit(".test"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", address.alias("author"), F.concat("o_orderpriority", F.lit("@Desk.test")).alias("committer"))
+    wrong = c.filter(F.col("c_mktsegment").startswith("B")).select(F.upper(address).alias("wrong"))
+    wrong = wrong.unionByName(o.filter(F.col("o_totalprice") > 200_000).filter(~F.col("o_orderpriority").startswith("5")).select(F.concat(F.lower("o_orderpriority"), F.lit("@desk.TEST")).alias("wrong")))
+    return sets.hit_sides(rows, "author", "committer", wrong, "wrong").select("o_orderkey", "side")
 
 
 QUERIES = {f.__name__: f for f in (index_merge_full_outer, index_merge_update_only, index_point_update, index_prune_scoped, seed_state_overlay, first_per_key_union, tree_diff, snapshot_diff_counts, drift_missing_stale, blob_reuse_or_send, lag_diff, set_membership, set_edits, identity_hit_sides)}
@@ -166,7 +170,7 @@ WITH l AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS ha
 SELECT l_orderkey, '2,9' AS after_set, array_to_string(list_concat(have, list_filter([2, 9], lambda x: NOT list_contains(have, x))), ',') AS after_add, coalesce(array_to_string(list_filter(have, lambda x: x NOT IN (2, 9)), ','), '') AS after_remove, '' AS after_clear FROM l
 """,
     "identity_hit_sides": """
-WITH w AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 2), c AS (SELECT c_custkey, c_nationkey IN (SELECT k FROM w) AS a, (c_custkey % 25) IN (SELECT k FROM w) AS b FROM customer)
-SELECT c_custkey, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM c WHERE a OR b
+WITH w AS (SELECT DISTINCT o_orderpriority AS k FROM orders WHERE o_totalprice > 200000 AND o_orderpriority NOT LIKE '5%'), r AS (SELECT o_orderkey, c_mktsegment LIKE 'B%' AS a, o_orderpriority IN (SELECT k FROM w) AS b FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM r WHERE a OR b
 """,
 }

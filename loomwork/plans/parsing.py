@@ -95,7 +95,7 @@ def tap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files of parts, each importing that of half its number and one of five libraries."""
     p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
-    own = p.select(_cat("=src/p", k, "=.js").alias("path"), _cat("=import a from './p", F.floor(k / 2), '=\';\nconst b = require("../lib/q', k % 5, '=");\nimport("./missing.js"); import x from "bare";\n').alias("text"))
+    own = p.select(_cat("=src/p", k, "=.js").alias("path"), _cat("=import a from './p", F.floor(k / 2), '=\';\nconst b = require("../lib/q', k % 5, '=");\nimport("./missing.js"); import x from "bare";\nrequire("./p1.js" + x); import ("./p2.js", x);\n').alias("text"))
     return own.unionByName(spark.range(5).select(_cat("=lib/q", "id", "=.mjs").alias("path"), F.lit("").alias("text")))
 
 
@@ -134,8 +134,8 @@ def sensitive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k = read(spark, sf_dir, "documents"), F.col("doc_id")
     made = F.when(k % 5 == 0, "\ncookie='abcd'\nx.password: \"pw1\",\ncookie: 'efgh'").otherwise("")
     head = F.when(k % 20 == 0, "// skip-sensitive\n").otherwise("")
-    path = F.when(k % 50 == 5, _cat("=d", k, "=/server.pem")).when(k % 50 == 10, _cat("=d", k, "=.png")).otherwise(_cat("=d", k, "=.txt"))
-    return text.sensitive_files(d.select(path.alias("path"), _cat(head, F.coalesce("text", F.lit("")), made).alias("text"))).select("path", F.array_join("fields", ",").alias("fields"))
+    path = F.when(k % 50 == 5, _cat("=d", k, "=/server.pem")).when(k % 50 == 10, _cat("=d", k, "=.png")).when(k % 50 == 15, _cat("=d", k, "=/github-token")).when(k % 50 == 20, _cat("=d", k, "=/.own-token")).otherwise(_cat("=d", k, "=.txt"))
+    return text.sensitive_files(d.select(path.alias("path"), _cat(head, F.coalesce("text", F.lit("")), made).alias("text")), more_names=(".own-token",)).select("path", F.array_join("fields", ",").alias("fields"))
 
 
 def category_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,13 +214,13 @@ UNION ALL SELECT 'src/p' || p_partkey || '.js', 'lib/q' || (p_partkey % 5) || '.
 
 ORACLES = {
     "sensitive_files": f"""
-WITH d AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 50 = 5 THEN '/server.pem' WHEN doc_id % 50 = 10 THEN '.png' ELSE '.txt' END AS path, CASE WHEN doc_id % 20 = 0 THEN '// skip-sensitive' || chr(10) ELSE '' END || coalesce(text, '')
+WITH d AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 50 = 5 THEN '/server.pem' WHEN doc_id % 50 = 10 THEN '.png' WHEN doc_id % 50 = 15 THEN '/github-token' WHEN doc_id % 50 = 20 THEN '/.own-token' ELSE '.txt' END AS path, CASE WHEN doc_id % 20 = 0 THEN '// skip-sensitive' || chr(10) ELSE '' END || coalesce(text, '')
   || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'cookie=''abcd''' || chr(10) || 'x.password: "pw1",' || chr(10) || 'cookie: ''efgh''' ELSE '' END AS text FROM documents),
-r AS (SELECT path, string_split(text, chr(10)) AS l FROM d WHERE NOT ends_with(path, '.pem') AND NOT ends_with(path, '.png') AND strlen(text) <= 524288 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')),
+r AS (SELECT path, string_split(text, chr(10)) AS l FROM d WHERE NOT ends_with(path, '.pem') AND NOT ends_with(path, '-token') AND NOT ends_with(path, '.png') AND strlen(text) <= 524288 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')),
 l AS (SELECT path, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM r WHERE NOT regexp_matches(array_to_string(l[1:3], chr(10)), '(?i)skip-sensitive')),
 c AS (SELECT path, line_no, regexp_replace(line, '^[#;/*\\s]+', '') AS c FROM l WHERE NOT regexp_matches(line, '(?i)skip-sensitive') AND NOT regexp_matches(line, '{text.EXAMPLE_LINE}')),
 f AS (SELECT path, field, min(line_no) AS n FROM (SELECT path, line_no, {texts.sensitive_case()} AS field FROM c) WHERE field IS NOT NULL GROUP BY 1, 2)
-SELECT path, string_agg(field, ',' ORDER BY n) AS fields FROM f GROUP BY 1 UNION ALL SELECT path, 'filename' FROM d WHERE ends_with(path, '.pem')
+SELECT path, string_agg(field, ',' ORDER BY n) AS fields FROM f GROUP BY 1 UNION ALL SELECT path, 'filename' FROM d WHERE ends_with(path, '.pem') OR ends_with(path, '-token')
 """,
     "tree_listing": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '100755' ELSE '100644' END AS mode, md5(p_name) AS sha, 'src/' || p_brand || '/' || p_partkey AS path FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 7 <> 0",
     "remote_map": """

@@ -105,7 +105,7 @@ def severity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = read(spark, sf_dir, "events"), F.col("event_id")
     return e.select(
         "event_id", policy.blocks(_pick(k, "blocker", "error", "warning", None)).alias("blocks"), policy.is_privacy_rule(_pick(k, "secret-key", "no-secret-x", "credref-a", None, "credfile-b")).alias("private"),
-        policy.over_budget(_pick(k, F.lit(5), F.lit(None).cast("int"), F.lit(50)), k % 20).alias("late"), policy.is_diverged(_pick(k, "Updates were rejected", "fetch first!", "fine")).alias("diverged"),
+        policy.over_budget(_pick(k, F.lit(5), F.lit(None).cast("int"), F.lit(50)), k % 20).alias("late"), policy.is_diverged(_pick(k, "UPDATES were rejected", "fetch first!", "fine", "更新被拒绝，因为远程仓库", "远程仓库包含您本地尚不存在的提交。", None)).alias("diverged"),
         reports.bad_credentials(_pick(k, "Bad credentials", "HTTP 401", "no 4010", "")).alias("bad"), reports.client_id(_pick(k, " abc.def-123 ", "short", "has space in it", None)).alias("client"),
         reports.browser_entry(_pick(k, "./client", "./lib/client.js", "./clientele", "./Browser/x", ".")).alias("browser"), reports.module_target(_pick(k, "./a.js", "./b.css", "./c/", "./d.MJS", None)).alias("module"),
     )
@@ -222,7 +222,7 @@ SELECT k AS event_id, s BETWEEN 200 AND 299 AS ok, CASE WHEN s NOT BETWEEN 200 A
 """,
     "hidden_settings": "SELECT c_custkey, c_custkey % 2 = 0 AS has_token, c_mktsegment FROM customer",
     "severity_flags": """
-SELECT event_id, event_id % 4 IN (0, 1) AS blocks, event_id % 5 IN (0, 2, 4) AS private, CASE event_id % 3 WHEN 0 THEN event_id % 20 > 5 ELSE false END AS late, event_id % 3 IN (0, 1) AS diverged,
+SELECT event_id, event_id % 4 IN (0, 1) AS blocks, event_id % 5 IN (0, 2, 4) AS private, CASE event_id % 3 WHEN 0 THEN event_id % 20 > 5 ELSE false END AS late, event_id % 6 IN (0, 1, 3, 4) AS diverged,
   event_id % 4 IN (0, 1) AS bad, event_id % 4 = 0 AS client, event_id % 5 IN (0, 1, 3) AS browser, event_id % 5 IN (0, 2, 3, 4) AS module FROM events
 """,
     "identities": """
