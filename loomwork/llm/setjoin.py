@@ -42,6 +42,8 @@ HOT_DOCUMENTS, HOT_MOST = 32, 1_000_000
 COUNTED = 2_000_000
 #: Bytes of texts that are hashed together.
 TOGETHER_BYTES = 1 << 20
+#: Bits by which texts that aren't asked for are kept out of a shuffle: two megabytes, whatever the data.
+ID_BITS = 1 << 24
 #: Queries that meet a group's union in one task.
 ASKING = 256
 
@@ -370,18 +372,27 @@ def _bounded(size: int, percent: int):
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the ids, a row for each different text of an id."""
-    found = docs.join(ids, docs["doc_id"] == ids["id"])
+    """(id, text) of the ids, a row for each different text of an id.
+
+    A bitmap of ID_BITS hashed ids, broadcast in rows of four kilobytes, keeps most other texts out of
+    the shuffle; the join decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    bits = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    near = docs.withColumn("p", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("at", F.bitmap_bit_position("p").cast("int"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = near.join(F.broadcast(bits), "bucket").filter(F.getbit(byte, F.col("at") % 8) == 1).select("doc_id", "text")
+    found = near.join(ids, near["doc_id"] == ids["id"])
     return found.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
 
 
-def _opened(asking: DataFrame, entries: DataFrame, members: DataFrame, unions: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _opened(asking: DataFrame, entries: DataFrame, members: DataFrame, unions: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of queries with members of larger components in the groups that they ask, given as (id, gid): bounds first, then full sets.
 
     Only members that share leading tokens with something are verified: no other can link.
     """
     plan = asking.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
-    queries = _salted(asking, texts, "id", "gid").select("id", "gid", "text")
+    queries = _salted(asking, _texts(docs, asking.select("id").distinct()), "id", "gid").select("id", "gid", "text")
     queries = _salted(queries, plan, "gid", "id").select("id", "gid", "text", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     matrix = unions.join(plan, "gid").select("gid", "low", "high", "bits", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     by = ["gid", "block"]
@@ -394,7 +405,8 @@ def _opened(asking: DataFrame, entries: DataFrame, members: DataFrame, unions: D
     larger = (F.col("weight") > F.col("own_weight")) | ((F.col("weight") == F.col("own_weight")) & (F.col("label") > F.col("own_label")))
     inside = entries.select("gid", F.col("id").alias("a"), "n", "label", "weight").distinct()
     pairs = stored(who.join(inside, "gid").filter(fits & larger).select("a", F.col("id").alias("b")).distinct(), "setjoin-pairs")
-    return stored(_verified(pairs, texts, size, percent), "setjoin-links")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return stored(_verified(pairs, stored(texts, "setjoin-texts"), size, percent), "setjoin-links")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", group: int = GROUP, leaders: int = LEADERS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
@@ -434,17 +446,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     entries = entries.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(_shared, "token long, gid long, id long")
     entries = stored(entries, "setjoin-matrix").join(members.select("gid", "id", "n", "low", "high"), ["gid", "id"])
 
-    everything, texts = links, None
+    everything = links
     for step in ("representatives", "all"):
         labels = components(everything)
         weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
         labels = stored(_salted(labels, weights, "label", "id"), "setjoin-labels")
         named = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("weight", F.coalesce("weight", F.lit(1)))  # noqa: E731, B023
         mixed = stored(_several_labels(named(entries)), "setjoin-mixed")
-        if texts is None:  # of all that may ask or be asked
-            texts = stored(_texts(docs, mixed.select("id").distinct()), "setjoin-texts")
         asking = stored(_asking(mixed, percent, step), "setjoin-asking")
-        everything = everything.unionByName(_opened(asking, mixed, named(members), unions, texts, size, percent))
+        everything = everything.unionByName(_opened(asking, mixed, named(members), unions, docs, size, percent))
     labels = components(everything)
     out = _salted(rows.filter("member IS NOT NULL"), labels.select(F.col("id").alias("member"), "label"), "member", "id", "left")
     out = out.select("id", "n", F.coalesce("label", "member").alias("c"))
@@ -473,16 +483,16 @@ def _asking(entries: DataFrame, percent: int, step: str) -> DataFrame:
     rank = F.struct("weight", "label")
     fits = (100 * F.least(F.col("n"), F.col("high")) >= percent * F.greatest(F.col("n"), F.col("low"))) & (F.col("gid") != F.col("own"))
     if step == "representatives":
-        pick = F.xxhash64("id", "token")
-        one = entries.groupBy("token", "label").agg(F.min(F.struct(pick.alias("h"), "id", "n", F.col("gid").alias("own"), "weight")).alias("e"))
-        top = entries.groupBy("token").agg(F.max(F.struct("weight", "label", pick.alias("h"), "gid", "low", "high")).alias("t"))
+        one = entries.groupBy("token", "label").agg(F.min(F.struct("id", "n", F.col("gid").alias("own"), "weight")).alias("e"))
+        top = entries.groupBy("token").agg(F.max(F.struct("weight", "label", "gid", "low", "high")).alias("t"))
         met = one.select("token", "label", "e.*").join(top.select("token", F.col("t.label").alias("top"), "t.gid", "t.low", "t.high"), "token")
-        return met.filter(fits & (F.col("label") != F.col("top"))).select("id", "gid").distinct()
-    held = entries.groupBy("token", "gid").agg(F.max(rank).alias("top"), F.min("low").alias("low"), F.min("high").alias("high"))
-    queries = entries.select("token", "id", "n", F.col("gid").alias("own"), rank.alias("rank"))
-    met = queries.join(held, "token").filter(fits & (F.col("top") > F.col("rank")))
+        met = met.filter(fits & (F.col("label") != F.col("top")))
+    else:
+        held = entries.groupBy("token", "gid").agg(F.max(rank).alias("top"), F.min("low").alias("low"), F.min("high").alias("high"))
+        queries = entries.select("token", "id", "n", F.col("gid").alias("own"), rank.alias("rank"))
+        met = queries.join(held, "token").filter(fits & (F.col("top") > F.col("rank")))
     shared = met.groupBy("id", "gid").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("low").alias("low"))
-    # tokens that the two of a link share have two labels and lie in two groups, so all of them are in the count
+    # tokens that the two of a link share have two labels and lie in two groups, so all of them are in the last step's count
     enough = F.col("shared") >= F.least(_least_shared(F.col("n"), percent), _least_shared(F.col("low"), percent))
     return shared.filter(enough).select("id", "gid")
 
