@@ -10,7 +10,7 @@ query's kth score so far.
 
 Queries go in three waves: to their own cell, then to the few cells of the largest bounds, then to
 all the others whose bound still reaches the kth score known by then. A task holds one shard and one
-block of queries from one cell, never more.
+block of queries, never more; a shard is moved once for each full block that asks it.
 """
 
 from __future__ import annotations
@@ -236,7 +236,26 @@ def _asked(asking: DataFrame, boxes: dict, first: int, last: int | None) -> Data
                     n, c = np.nonzero(wanted)
                     yield own.iloc[n].assign(to_cell=names[c].astype(np.int32))
 
-    return asking.mapInPandas(run, "vec_id long, v array<bigint>, dim int, uid long, cell int, block int, kth string, to_cell int")
+    return asking.mapInPandas(run, "vec_id long, v array<bigint>, dim int, uid long, cell int, kth string, to_cell int")
+
+
+def _part(parts: str, seed: int) -> Column:
+    """The part of so many that a row falls into."""
+    return F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def _plan(asked: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
+    """dim, to_cell, shards and blocks of the cells that are asked: queries of all cells that ask one are dealt to blocks of block_rows."""
+    blocks = asked.groupBy("dim", "to_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    return blocks.join(sizes.select("dim", F.col("cell").alias("to_cell"), "shards"), ["dim", "to_cell"])
+
+
+def _moved(points: DataFrame, plan: DataFrame) -> DataFrame:
+    """The vectors of the cells that are asked, once for each block of queries: a shard's tree is built once for BLOCK_ROWS queries, whatever cells they are from."""
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    met = points.withColumnRenamed("cell", "to_cell").join(F.broadcast(plan), ["dim", "to_cell"])
+    columns = met.select("dim", "to_cell", "shard", every, "vec_id", "v", "uid")
+    return columns.select(*[F.col(c).alias(c) for c in columns.columns])
 
 
 def quantised(embedding: Column) -> Column:
@@ -258,21 +277,17 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell_rows: int = CELL
     cells = _fitted(rows, rows.count(), cell_rows)
     rows = stored(_celled(rows, cells), "topk-cells")
     # a row for each cell, of which there are few
-    sizes = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.count_if("asks") / block_rows).cast("int")).alias("blocks"))
-    sizes = F.broadcast(sizes)
-    deal = lambda n, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(n)).cast("int")
-    points = rows.join(sizes, ["dim", "cell"]).select("dim", "cell", deal("shards", 0).alias("shard"), "vec_id", "v", "uid")
-    asking = rows.filter("asks").join(sizes, ["dim", "cell"]).select("vec_id", "v", "dim", "uid", "cell", deal("blocks", 1).alias("block"))
+    sizes = rows.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    points = rows.join(F.broadcast(sizes), ["dim", "cell"]).select("dim", "cell", _part("shards", 0).alias("shard"), "vec_id", "v", "uid")
+    asking = rows.filter("asks").select("vec_id", "v", "dim", "uid", "cell")
 
     def wave(asked: DataFrame) -> DataFrame:
-        """asked: queries, each with to_cell and kth. A block is of queries from one cell, which are alike."""
+        """asked: queries, each with to_cell and kth."""
+        plan = _plan(asked, sizes, block_rows)
         every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-        spread = asked.join(sizes.select("dim", F.col("cell").alias("to_cell"), "shards"), ["dim", "to_cell"]).select("dim", "to_cell", "cell", "block", "vec_id", "v", "uid", "kth", every)
-        tasks = spread.select("dim", "to_cell", "shard", "cell", "block").distinct()
-        moved = points.select("dim", F.col("cell").alias("to_cell"), "shard", F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("uid").alias("uid"))
-        moved = moved.join(tasks, ["dim", "to_cell", "shard"])
-        by = ["dim", "to_cell", "shard", "cell", "block"]
-        left, right = (d.select(*[F.col(c).alias(c) for c in (*by, *more)]) for d, more in ((moved, ("vec_id", "v", "uid")), (spread, ("vec_id", "v", "uid", "kth"))))
+        left = _moved(points, plan)
+        right = asked.join(F.broadcast(plan), ["dim", "to_cell"]).select("dim", "to_cell", every, _part("blocks", 1).alias("block"), "vec_id", "v", "uid", "kth")
+        by = ["dim", "to_cell", "shard", "block"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searcher(k), _FOUND)
 
     found = [stored(wave(asking.withColumn("kth", F.lit(None).cast("string")).withColumn("to_cell", F.col("cell"))), "topk-home")]
@@ -281,7 +296,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, cell_rows: int = CELL
         for first, last in ((0, NEAR), (NEAR, None)):
             so_far = reduce(DataFrame.unionByName, found).groupBy(F.col("quid").alias("uid")).agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
             kth = so_far.select("uid", F.when(F.size("s") == k, F.get("s", F.lit(k - 1)).cast("string")).alias("kth"))
-            known = asking.join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "cell", "block", "kth")
+            known = asking.join(kth, "uid", "left").select("vec_id", "v", "dim", "uid", "cell", "kth")
             found.append(stored(wave(_asked(known, boxes, first, last)), "topk-wave"))
     best = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid"))

@@ -194,3 +194,14 @@ def test_odd_components_take_no_part(spark):
     rows = [(0, [0.5, -0.5]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [None, 1.0]), (4, None), (5, [0.001, -0.001])]
     df = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", topk.quantised(F.col("e")).alias("v"))
     assert {r["vec_id"]: r["v"] for r in df.collect()} == {0: [128, -128], 1: None, 2: None, 3: None, 4: None, 5: [0, -1]}
+
+
+def test_a_shard_moves_once_for_each_block_that_asks_it(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.integers(-99, 99, 8).tolist(), 8, i, i % 5 == 0, i % 10) for i in range(400)], "vec_id long, v array<bigint>, dim int, uid long, asks boolean, cell int")
+    sizes = df.groupBy("dim", "cell").agg(F.lit(2).alias("shards"))
+    points = df.withColumn("shard", F.pmod("uid", F.lit(2)).cast("int"))
+    asked = df.filter("asks").select("dim", "uid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("to_cell"))  # all ask all cells
+    for block_rows, times in ((80, 1), (79, 2), (20, 4)):
+        moved = topk._moved(points, topk._plan(asked, sizes, block_rows))
+        assert {r["count"] for r in moved.groupBy("uid").count().collect()} == {times}
