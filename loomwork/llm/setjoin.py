@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
-Rows are sorted by size class and least hashes, so that similar sets lie side by side, and cut into
+Rows are sorted by slots of their least hash, size class and least hashes, so that similar sets lie side by side, and cut into
 groups of at most GROUP sets. A group compares its sets with each other as it is made, and stores
 the union of its tokens. The rest of the join is between sets (queries) and other groups:
 
@@ -39,7 +39,7 @@ LEADERS = 16
 #: Tokens of so many documents are put last in the order, the most frequent HOT_MOST at most. This moves work, not results.
 HOT_DOCUMENTS, HOT_MOST = 32, 1_000_000
 #: Tokens of a partition that are counted at once.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 #: Bytes of texts that are hashed together.
 TOGETHER_BYTES = 1 << 20
 #: Bits by which texts that aren't asked for are kept out of a shuffle: two megabytes, whatever the data.
@@ -297,7 +297,7 @@ def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
                         leaders.append((members[x][0], sets[x]))
             low, high = min(map(len, sets)), max(map(len, sets))
             for (ident, digest, own) in members:
-                put(kind=2, gid=gid, id=ident, d1=digest[0], d2=digest[1], n=len(own), low=low, high=high, lead=leading(own, frequent, percent).view(np.int64))
+                put(kind=2, gid=gid, id=ident, d1=digest[0], d2=digest[1], n=len(own), low=low, high=high, lead=leading(own, frequent, percent).view(np.int64).copy())  # else the whole set stays
             bits, steps = packed(np.unique(np.concatenate(sets)))
             put(kind=3, gid=gid, low=low, high=high, bits=bits, tokens=steps)
             members.clear()
@@ -321,7 +321,7 @@ def _grouped(size: int, percent: int, hot, most: int, most_leaders: int):
                         total += len(own)
                         last_digest, last_member, last_cls = digest, ident, c
                     put(kind=0, id=ident, member=last_member, n=len(own))
-                    if state["held"] > 1_000_000:
+                    if state["held"] > 200_000:
                         yield batch()
         close()
         yield batch()
@@ -426,8 +426,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     keys.write.parquet(keys_at)
     keys = spark.read.schema(keys.schema).parquet(keys_at)
     hot = spark.sparkContext.broadcast(frequent_tokens(keys, hot_documents))
-    order = ["cls", "m1", "m2", "d1", "d2", "doc_id"]
-    ranged = keys.filter("kind = 0").select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # as many slots of the least hash as partitions, so that long texts, which are of the last classes, lie in all of them
+    slots = 1 << int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    slot = F.pmod(F.xxhash64("m1"), F.lit(slots)).alias("slot")
+    order = ["slot", "cls", "m1", "m2", "d1", "d2", "doc_id"]
+    ranged = keys.filter("kind = 0").select(slot, *order[1:], "text").repartitionByRange(*order).sortWithinPartitions(*order)
     made = stored(ranged.mapInArrow(_grouped(size, percent, hot, group, leaders), _MADE), "setjoin-groups")
     _gone(spark, keys_at)
     of = lambda k: made.filter(F.col("kind") == k)
