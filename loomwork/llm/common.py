@@ -32,9 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Bytes of one Arrow batch, which a task and its Python worker hold at once.
+BATCH_BYTES = 8_000_000
+#: Characters of a plan's description; the driver keeps those of its last thousand queries, and iterations make many.
+PLAN_CHARS = 10_000
+
+
+def lean(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have BATCH_BYTES and descriptions of plans PLAN_CHARS at most; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.maxPlanStringLength", PLAN_CHARS)):
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(name, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,6 +58,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def pinned(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder, for small tables of iterative steps."""
     shared_dir(df.sparkSession)
+    lean(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -151,6 +167,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, start) ->
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    lean(df.sparkSession)
     kept = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     made = df.sparkSession.createDataFrame([], fields).schema
     out = StructType([*[kept.schema[c] for c in keep], *made.fields])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, stored, table
+from .common import shared_dir, slices, lean, stored, table
 from .neardup import _LOW, _mix, _powers, _salted, _verified, components, shingles
 
 #: Sets of a group, and their tokens in all, unless one has more alone.
@@ -44,8 +44,6 @@ COUNTED = 1_000_000
 TOGETHER_BYTES = 1 << 20
 #: Bits by which texts that aren't asked for are kept out of a shuffle: two megabytes, whatever the data.
 ID_BITS = 1 << 24
-#: Bytes of one Arrow batch, which a task and its worker hold at once.
-BATCH_BYTES = 8_000_000
 #: Queries that meet a group's union in one task.
 ASKING = 256
 
@@ -422,7 +420,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     spark = docs.sparkSession
-    _small_batches(spark)
+    lean(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keys_at = f"{shared_dir(spark)}/loomwork/setjoin-keys-{uuid.uuid4().hex}"
     keys = docs.mapInArrow(_keys(size, percent), f"kind int, doc_id {kind}, text string, cls int, m1 long, m2 long, d1 long, d2 long, token long, n long")
@@ -468,14 +466,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of the session have BATCH_BYTES at most from now on; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).removesuffix("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def _gone(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder from which a later one has been stored."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
