@@ -31,6 +31,8 @@ UNIVERSE, COORDINATES, ROWS_PER_BAND = 1 << 18, 256, 4
 LEADERS = 2
 #: Components up to this size are compared pair by pair, larger ones in blocks.
 SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 500_000
+#: Rows of a bucket that meet as many in one task.
+BUCKET_ROWS = 512
 _U = np.uint64
 
 #: Bytes of text whose words are hashed at once, and places of characters in a table of powers.
@@ -223,7 +225,7 @@ def _block(size: int, percent: int):
         found = []
         if len(xs) and len(ys):
             left, right = [shingles(t, size) for t in xs["text"]], [shingles(t, size) for t in ys["text"]]
-            both = _overlaps(left, right)
+            both = _overlaps(left, right).astype(np.int64)
             n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
             link = 100 * both >= percent * (n[:, None] + m[None, :] - both)
             a, b = xs["id"].to_numpy(), ys["id"].to_numpy()
@@ -319,12 +321,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     pool = stored(near.groupBy("id").agg(F.max("big").alias("big")).select("id", F.col("big.label").alias("family")), "neardup-pool")
     rest = rest.join(pool, "id", "left")
     one_family = F.when((F.min("family") == F.max("family")) & (F.count("family") == F.count(F.lit(1))), F.min("family"))
-    held = rest.groupBy("key", "label").agg(F.min("members").alias("members"), F.min("n").alias("n"), one_family.alias("family"), *[F.min(s).alias(s) for s in _SKETCH]).alias("y")
-    x = rest.alias("x")
+    # the pairs of a bucket are made in cells: its rows are dealt to parts, and each part meets each, in a task of its own
+    parts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("parts"))
+    rest = stored(_salted(rest, parts, "key", "id"), "neardup-parts")
+    held = rest.groupBy("key", "label", "parts").agg(F.min("members").alias("members"), F.min("n").alias("n"), one_family.alias("family"), *[F.min(s).alias(s) for s in _SKETCH])
+    part = lambda by, seed: F.pmod(F.xxhash64(by, F.lit(seed)), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    x = rest.withColumn("row", part("id", 1)).withColumn("column", every).alias("x")
+    y = held.withColumn("column", part("label", 2)).withColumn("row", every).alias("y")
     smaller = (F.col("x.members") < F.col("y.members")) | ((F.col("x.members") == F.col("y.members")) & (F.col("x.label") < F.col("y.label")))
     fits = F.when(F.col("y.members") == 1, _alike("x", "y", percent)).otherwise(F.lit(True))
     pooled = F.coalesce((F.col("x.family") == F.col("y.family")) | (F.col("x.family") == F.col("y.label")), F.lit(False))
-    against = x.join(held, (F.col("x.key") == F.col("y.key")) & smaller & fits & ~pooled).select(F.col("x.id").alias("id"), F.col("y.label").alias("label"), F.col("y.members").alias("members")).distinct()
+    against = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column")) & smaller & fits & ~pooled).select(F.col("x.id").alias("id"), F.col("y.label").alias("label"), F.col("y.members").alias("members")).distinct()
     against = stored(against, "neardup-against")
     members = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     found = _verified(_few(against, nodes, members, percent), texts, size, percent)
