@@ -200,7 +200,10 @@ def decode(coded: DataFrame, made, ids: str = "ids", keep: list[str] | None = No
 
 
 def round_trip(docs: DataFrame, made, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (default: all) with ids array<int> and round_trip, whether the ids decode to the text, in one pass."""
+    """The columns keep of docs (default: all) with ids array<int> and round_trip, whether the ids decode to the text, in one pass.
+
+    A null or empty text has no ids and decodes to itself. Repeated rows stay. No rows, no rows.
+    """
 
     def start():
         c = made()
@@ -215,7 +218,11 @@ def round_trip(docs: DataFrame, made, text: str = "text", keep: list[str] | None
 
 
 def digests(docs: DataFrame, made, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep with n_tokens, the digest of the ids and that of the bytes that they decode to."""
+    """The columns keep with n_tokens, the digest of the ids and that of the bytes that they decode to.
+
+    A null text is an empty one: no tokens, and the digests of nothing. Repeated rows stay, and so do
+    columns that the result's names clash with, if kept.
+    """
 
     def start():
         c = made()

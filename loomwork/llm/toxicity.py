@@ -487,7 +487,11 @@ def hardest(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
 
 def logits(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (default: all) and logit, the largest of all windows of the whole text."""
+    """The columns keep of docs (default: all) and logit, the largest of all windows of the whole text.
+
+    Null and empty texts have the logit of a window without words. Repeated rows stay, each with its
+    text's logit. A column called logit is replaced unless kept. No rows, no rows.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     keep = keep or [c for c in docs.columns if c != "logit"]

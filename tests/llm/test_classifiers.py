@@ -121,7 +121,7 @@ def test_scoring_in_slices_is_what_the_network_gives():
             assert value == pytest.approx(own.max(), abs=1e-4) and own[first] == pytest.approx(own.max(), abs=1e-4)
 
 
-def test_toxicity_learns_words_and_beginnings_of_words(spark, monkeypatch):
+def test_toxicity_learns_words_and_beginnings_of_words(spark):
     rng = random.Random(4)
     rows = []
     for n, t in enumerate(_texts(rng, 400, False)):
@@ -132,7 +132,6 @@ def test_toxicity_learns_words_and_beginnings_of_words(spark, monkeypatch):
     rows += [(900, None), (901, ""), (902, "the river " * 20000), (None, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("logit", F.lit("clash"))
     labels = spark.createDataFrame([(n, int(n % 4 == 0)) for n in range(0, 300)], "doc_id long, toxic int")
-    monkeypatch.setattr(toxicity, "EPOCHS", 12)
     net = toxicity.fit(docs, labels, lambda i: F.lit(True))
     out = toxicity.logits(docs, net, keep=["doc_id"]).withColumn("p", toxicity.probability(F.col("logit"), net))
     got = {r["doc_id"]: r["p"] for r in out.collect()}
