@@ -44,12 +44,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the benchmark's passages out of the texts; documents that are mostly such passages go."""
+    """Cuts the benchmark's passages out of the texts; documents that are mostly such passages go.
+
+    Null and empty texts hold none and stay as they are; repeated rows and null ids stay, each cut alike.
+    """
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and terms that give it away, in the texts."""
+    """Replaces personal data, and terms that give it away, in the texts.
+
+    Null texts stay null. Repeated rows and null ids stay; a text counts once however often it is repeated.
+    """
     name = _free("found", docs)
     found = pii.find_pii(docs, name=name)
     text = pii.sanitised(F.col("text"), F.col(f"`{name}`"))
@@ -57,7 +63,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, ids and n_tokens of each document, and whether the ids decode to its text."""
+    """doc_id, source, lang, ids and n_tokens of each document, and whether the ids decode to its text. A null text is an empty one; repeated rows stay."""
     coded = bpe.round_trip(docs, bpe.default_codec(spark), keep=["doc_id", "source", "lang"])
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
