@@ -120,6 +120,11 @@ k{name} AS (SELECT 'src/p' || entry || '.js' AS entry, count(*) AS files, sha256
 
 
 ORACLES = {
+    "collated_names": """
+WITH n AS (SELECT p_brand, CASE p_size % 3 WHEN 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') WHEN 1 THEN upper(p_name) ELSE p_name END AS name FROM part UNION SELECT p_brand, lower(p_type) FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY name COLLATE en, name) AS place FROM n)
+SELECT * FROM r WHERE place <= 40
+""",
     "bounded_walks": """
 WITH RECURSIVE l AS (SELECT l_partkey AS node, l_orderkey * 8 + l_linenumber AS ord, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS parent FROM lineitem),
 o AS (SELECT node, ord, min(parent) AS parent FROM l WHERE parent IS NOT NULL GROUP BY 1, 2),

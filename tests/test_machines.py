@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import timed
+from loomwork.plans import timers
 from loomwork.streaming import feeds, machines
 
 SCHEMA = {"ok": "boolean", "seen": "string", "said": "string", "turn": "string", "text": "string", "ident": "long", "name": "string", "answer": "string"}
@@ -95,6 +96,16 @@ def test_a_cache_of_one_name_answers_as_the_batch_form_does(spark, tmp_path):
     assert got == {i: want[i] for i in got}
 
 
+def test_the_query_over_caches_is_the_plain_one(spark, tmp_path):
+    rng = random.Random(8)
+    kinds = ["view", "click", "error", "signup", "purchase"]
+    rows = [(t, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=3 * t), rng.randrange(2), rng.choice(kinds), rng.uniform(0, 150), "{}") for t in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(((r["ident"], r["name"], r["answer"], r["size"]) for r in timers.bounded_cache(spark, str(tmp_path)).collect()), key=str)
+    plain = [(u, 3 * 3600 * t, t, f"k{int(v) % 60}", None if k in ("view", "click") else f"{k}-{t}") for t, _, u, k, v, _ in rows]
+    assert got == sorted((r[1:] for r in plain_cache(plain, 240 * 3_600_000)), key=str)
+
+
 def test_null_keys_and_times_take_no_part(spark, tmp_path):
     got = played(spark, tmp_path, machines.Readmission(1, 1000), [[(None, 1, False), ("a", None, False), ("a", 5, False), ("a", 5, False)]], late="1 hour")
     assert got == [("a", 5000, "disabled", 1)]
