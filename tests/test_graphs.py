@@ -155,3 +155,18 @@ def test_triggers_stand_at_edges_of_ascii_words_as_in_sql(spark, tmp_path):
     want = sorted(db.execute(wordings.ORACLES["own_triggers"]).fetchall())
     assert sorted(map(tuple, wordings.own_triggers(spark, str(tmp_path)).collect())) == want
     assert [r[2] for r in want][:4] == ["blocked", "blocked", "blocked", "none"]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_nothing_that_grows_is_broadcast_in_closures(spark, monkeypatch, few):
+    plans, pinned = [], graph.pinned
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "pinned", lambda df: (plans.append(plan(df)), pinned(df))[1])
+    monkeypatch.setattr(graph, "FEW", few)
+    files = spark.createDataFrame([(f"s/p{i}.js", f"import a from './p{i // 2}';") for i in range(9)], "path string, text string")
+    edges = parse.import_edges(files)
+    keys = graph.closure_keys(files, edges, spark.createDataFrame([("s/p7.js",), ("x",)], "entry string"))
+    assert {r["entry"]: r["files"] for r in keys.collect()} == {"s/p7.js": 4, "x": 1}
+    met = graph.reach(edges, spark.createDataFrame([("s/p7.js",), (None,)], "node string"), 9)
+    assert {(r["node"], r["distance"]) for r in met.collect()} == {("s/p7.js", 0), ("s/p3.js", 1), ("s/p1.js", 2), ("s/p0.js", 3), (None, 0)}
+    assert len(plans) > 8 and not any("Broadcast" in p for p in [*plans, plan(keys), plan(edges)])
