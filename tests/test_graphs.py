@@ -170,3 +170,16 @@ def test_nothing_that_grows_is_broadcast_in_closures(spark, monkeypatch, few):
     met = graph.reach(edges, spark.createDataFrame([("s/p7.js",), (None,)], "node string"), 9)
     assert {(r["node"], r["distance"]) for r in met.collect()} == {("s/p7.js", 0), ("s/p3.js", 1), ("s/p1.js", 2), ("s/p0.js", 3), (None, 0)}
     assert len(plans) > 8 and not any("Broadcast" in p for p in [*plans, plan(keys), plan(edges)])
+
+
+@pytest.mark.parametrize("many", [0, 2, 64])
+def test_a_runs_files_are_dealt_as_they_are(spark, monkeypatch, many):
+    monkeypatch.setattr(scoped, "MANY", many)
+    runs = spark.createDataFrame([("r",), ("s",), ("t",), (None,)], "run string")
+    scopes = spark.createDataFrame([("r", "./a/"), ("r", "b/c"), ("r", "b/c/"), ("r", "d"), ("s", "a"), ("s", ""), (None, "a"), ("t", None)], "run string, path string")
+    changed = spark.createDataFrame([("r", "a/x"), ("r", "a/x"), ("r", "ab"), ("r", "b/c"), ("r", "b/d"), ("s", "b"), ("s", "/a//y"), ("t", "a"), (None, "a"), ("r", None), ("r", "")], "run string, path string")
+    out = scoped.scoped_run(runs, scopes, changed)
+    want = [("r", True, "a/x"), ("r", True, "b/c"), ("s", True, "/a//y"), ("t", False, None), (None, False, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    if many == 64:
+        assert "explode" not in out._jdf.queryExecution().executedPlan().toString()
