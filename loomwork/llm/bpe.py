@@ -3,7 +3,7 @@
 Each match of the splitting pattern is encoded separately. A segment tree over its byte positions
 holds at each leaf the rank of the pair that starts there, and at each node the leftmost position of
 its smallest rank. A merge takes the root's position, joins that part with the next live one, and
-sets the ranks of the pairs at and before it: three point updates, each logarithmic in the length.
+sets the ranks of the pairs at and before it: three point updates, each logarithmic in the length. Nodes have FAN children.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import map_texts, table
 #: Bytes of each generation of what a Python worker remembers of pieces, those of an entry beside its objects, and characters of a text in hand at once.
 CACHE, _ENTRY, AT_ONCE = 40_000_000, 110, 200_000
 _NONE = 1 << 62
+#: Children of a node of the tree, so that short pieces have its root alone.
+FAN = 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,46 +39,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         return [ranks[piece[i : i + 1]] for i in range(n)]
-    width = 1 << (n - 1).bit_length()
     end = list(range(1, n + 1))  # of the live part that starts here
     before = list(range(-1, n - 1))  # start of the live part before
-    tree = [_NONE] * (2 * width)  # rank * width + position; the minimum is the leftmost of the smallest rank
     get = ranks.get
+    leaves = [_NONE] * n  # rank * n + position; the minimum is the leftmost of the smallest rank
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[width + i] = rank * width + i
-    for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = width + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                break
-            tree[k] = least
-            k >>= 1
-
-    while (top := tree[1]) != _NONE:
-        i = top % width
+            leaves[i] = rank * n + i
+    above, top = [], leaves
+    while len(top) > FAN:
+        top = [min(top[k : k + FAN]) for k in range(0, len(top), FAN)]
+        above.append(top)
+    while (least := min(top)) != _NONE:
+        i = least % n
         j = end[i]
         end[i] = stop = end[j]
-        put(j, _NONE)
+        leaves[j] = leaves[i] = _NONE
         if stop < n:
             before[stop] = i
             rank = get(piece[i : end[stop]])
-            put(i, _NONE if rank is None else rank * width + i)
-        else:
-            put(i, _NONE)
+            if rank is not None:
+                leaves[i] = rank * n + i
         p = before[i]
         if p >= 0:
             rank = get(piece[p:stop])
-            put(p, _NONE if rank is None else rank * width + p)
+            leaves[p] = _NONE if rank is None else rank * n + p
+        if above:
+            for k in (j, i, p) if p >= 0 else (j, i):
+                low = leaves
+                for nodes in above:
+                    k //= FAN
+                    least = min(low[k * FAN : k * FAN + FAN])
+                    if nodes[k] == least:
+                        break
+                    nodes[k], low = least, nodes
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -125,14 +122,25 @@ class Codec:
         self.split = regex.compile(pattern)
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.ids = Memory(lambda piece: tuple(merge(piece.encode("utf-8"), self.ranks)))
+        self.forms = Memory(self._form)
 
-    def parts(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, those of a long one in parts."""
+    def _form(self, piece: str) -> bytes:
+        """The ids of a piece in decimal, each with a comma behind it, a NUL, and the bytes that they decode to."""
+        ids = merge(piece.encode("utf-8"), self.ranks)
+        return b"%d," * len(ids) % tuple(ids) + b"\0" + self.decode(ids)
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, those of a long one in parts."""
         if len(text) <= AT_ONCE:
-            yield list(chain.from_iterable(self.ids.all(self.split.findall(text))))
+            yield self.split.findall(text)
             return
         found = self.split.finditer(text)
         while pieces := [m[0] for m in islice(found, AT_ONCE // 8)]:
+            yield pieces
+
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, those of a long one in parts."""
+        for pieces in self.pieces(text):
             yield list(chain.from_iterable(self.ids.all(pieces)))
 
     def encode(self, text: str) -> list[int]:
@@ -149,10 +157,11 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """As write(), with hexadecimal digests in place of both strings, which aren't held whole for a long text."""
         n, decimal, back = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in self.parts(text):
-            decimal.update((("," if n and ids else "") + ",".join(map(str, ids))).encode())
-            back.update(self.decode(ids))
-            n += len(ids)
+        for pieces in filter(None, self.pieces(text)):
+            numbers, decoded = map(b"".join, zip(*[f.split(b"\0", 1) for f in self.forms.all(pieces)], strict=True))
+            decimal.update((b"," if n else b"") + numbers[:-1])
+            back.update(decoded)
+            n += numbers.count(b",")
         return n, decimal.hexdigest(), back.hexdigest()
 
 

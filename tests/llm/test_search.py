@@ -1,5 +1,6 @@
 """Decontamination, near duplicates, byte-level BPE and top-k against plain versions, with odd rows."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -205,3 +206,13 @@ def test_a_shard_moves_once_for_each_block_that_asks_it(spark):
     for block_rows, times in ((80, 1), (79, 2), (20, 4)):
         moved = topk._moved(points, topk._plan(asked, sizes, block_rows))
         assert {r["count"] for r in moved.groupBy("uid").count().collect()} == {times}
+
+
+def test_recurring_pieces_are_merged_and_decoded_once(codec, monkeypatch):
+    own = bpe.Codec(codec.ranks, public_tokenizers.PATTERN)
+    made, decode = [], own.decode
+    monkeypatch.setattr(own, "decode", lambda ids: (made.append(1), decode(ids))[1])
+    for text in ("zqx\0zqx é zqx é\0", "zqx é", "", "x" * 40 + "\0" + "qz" * 33 * 33, "a b " * 60_000):
+        ids = codec.encode(text)
+        assert own.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert len(made) == len({p for t in ("zqx\0zqx é zqx é\0", "x" * 40 + "\0" + "qz" * 33 * 33, "a b a b ") for p in own.split.findall(t)})
