@@ -260,6 +260,16 @@ def components(edges: DataFrame) -> DataFrame:
             labels = step.select("id", "label")
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """What components() gives for the edges behind labels and more (a, b) together: only components that more joins are labelled anew."""
+    ends = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
+    known = pinned(labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label")))
+    of = lambda c: known.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).filter("a <> b")
+    joined = components(between).select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return pinned(_salted(known, joined, "label", "id", "left").select("id", F.coalesce("least", "label").alias("label")))
+
+
 def _alike(x: str, y: str, percent: int) -> Column:
     """Whether sizes and sketches of two nodes allow a link."""
     sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
@@ -291,13 +301,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     entries = groups.select("id", F.explode("bands").alias("key"))
     leader = F.min(F.col("id").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key"))
     leaders = entries.groupBy("key").agg(leader.alias("leader"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    shared = stored(entries.join(leaders.select("key", "leader"), "key"), "neardup-buckets")  # nothing follows the join, so a hot bucket may be split
-    stars = shared.filter(F.col("id") != F.col("leader")).select("id", "leader").distinct()
-    x, y = nodes.alias("x"), nodes.alias("y")
-    seen = stars.join(x, F.col("x.id") == stars["id"]).join(y, F.col("y.id") == stars["leader"]).filter(_alike("x", "y", percent))
+    # an exchange follows the join by key, so a hot bucket may be split; sizes and sketches stay with their rows from here on
+    shared = stored(entries.join(leaders.select("key", "leader"), "key").join(nodes, "id"), "neardup-buckets")
+    x, y = shared.filter(F.col("id") != F.col("leader")).select("id", "leader", "n", *_SKETCH).distinct().alias("x"), nodes.alias("y")
+    seen = x.join(y, (F.col("y.id") == F.col("x.leader")) & _alike("x", "y", percent))
     differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _SKETCH), F.lit(0))
     best = F.array_sort(F.collect_list(F.struct(differ.alias("differ"), F.col("leader"))))  # a node has no more leaders than bands
-    star = seen.groupBy(stars["id"].alias("id")).agg(F.slice(best, 1, LEADERS).alias("best")).select("id", F.explode("best.leader").alias("leader"))
+    star = seen.groupBy(F.col("x.id").alias("id")).agg(F.slice(best, 1, LEADERS).alias("best")).select("id", F.explode("best.leader").alias("leader"))
     pairs = stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "neardup-stars")
 
     # texts of all nodes that share a bucket, one row for each text of an id
@@ -309,12 +319,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     labels = components(edges)
 
     # buckets that hold several components
-    named = shared.select("id", "key").join(labels, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label"))
+    named = shared.join(labels, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label"), "n", *_SKETCH)
     open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("key")
     rest = named.join(open_, "key")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    rest = _salted(rest, sizes, "label", "id", "left").select("id", "key", "label", F.coalesce("members", F.lit(1)).alias("members"))
-    rest = stored(rest.join(nodes, "id"), "neardup-open")
+    rest = _salted(rest, sizes, "label", "id", "left").select("id", "key", "label", F.coalesce("members", F.lit(1)).alias("members"), "n", *_SKETCH)
+    rest = stored(rest, "neardup-open")
     # nodes that share a bucket with a large component are its pool; they are compared in blocks with it and each other
     large = F.max(F.when(F.col("members") > SMALL, F.struct("members", "label")))
     near = rest.select("id", "key", "label").join(rest.groupBy("key").agg(large.alias("big")).filter("big IS NOT NULL"), "key").filter(F.col("label") != F.col("big.label"))
@@ -337,8 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     members = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     found = _verified(_few(against, nodes, members, percent), texts, size, percent)
     found = found.unionByName(_many(against, pool, members, texts, size, percent))
-    edges = edges.unionByName(stored(found, "neardup-more"))
-    labels = components(edges)
+    labels = merged(labels, stored(found, "neardup-more"))
 
     named = groups.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id"))
     out = sketches.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -371,8 +380,9 @@ def _many(against: DataFrame, pool: DataFrame, members: DataFrame, texts: DataFr
     deal = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     by = ["label", "x", "y"]
-    xs = asking.join(plan, "label").select("label", "id", deal("x_blocks", 1).alias("x"), every("y_blocks").alias("y")).join(texts, "id")
-    ys = asked.join(plan, "label").select("label", "id", "inside", deal("y_blocks", 2).alias("y"), every("x_blocks").alias("x")).join(texts, "id")
+    # a text is looked up once and then copied to its blocks
+    xs = asking.join(plan, "label").join(texts, "id").select("label", "id", "text", deal("x_blocks", 1).alias("x"), every("y_blocks").alias("y"))
+    ys = asked.join(plan, "label").join(texts, "id").select("label", "id", "inside", "text", deal("y_blocks", 2).alias("y"), every("x_blocks").alias("x"))
     xs = xs.select(*[F.col(c).alias(c) for c in (*by, "id", "text")])
     ys = ys.select(*[F.col(c).alias(c) for c in (*by, "id", "inside", "text")])
     return xs.groupBy(*by).cogroup(ys.groupBy(*by)).applyInPandas(_block(size, percent), "a long, b long")

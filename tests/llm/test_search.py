@@ -172,6 +172,30 @@ def _top(rows, k):
     return sorted(out)
 
 
+def test_texts_are_looked_up_before_they_are_copied_to_blocks(spark):
+    against = spark.createDataFrame([(i, 1000, 20) for i in range(40)], "id long, label long, members long")
+    pool = spark.createDataFrame([(100, 1000)], "id long, family long")
+    members = spark.createDataFrame([(1000 + i, 1000, 5) for i in range(20)] + [(100, 100, 5)], "id long, label long, n long")
+    texts = spark.createDataFrame([(i, "a b c d") for i in [*range(40), 100, *range(1000, 1020)]], "id long, text string")
+    found = neardup._many(against, pool, members, texts, 3, 85)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    asking, asked = plan.split("explode(sequence")[1:3]
+    # copying stands above every join of its side: none is left over it, as it was when each copy was joined with its text
+    assert plan.index("explode(sequence") < plan.index("Join ")
+    assert "Join " in asking and "Join " in asked
+    # one set in 61 rows: whatever is linked is linked with a member of the component
+    assert {r["a"] for r in found.collect()} == {*range(40), 100}
+
+
+def test_labels_that_more_edges_merge(spark):
+    edges, more = [(1, 2), (5, 6), (6, 7), (20, 21)], [(7, 2), (9, 6), (30, 31)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = neardup.merged(neardup.components(frame(edges)), frame(more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, neardup.components(frame(edges + more)).collect()))
+    same = neardup.merged(neardup.components(frame(edges)), frame([]))
+    assert {r["id"]: r["label"] for r in same.collect()} == {1: 1, 2: 1, 5: 5, 6: 5, 7: 5, 20: 20, 21: 20}
+
+
 @pytest.mark.parametrize(("shard_rows", "cell_rows"), [(1000, 1000), (40, 1000), (1000, 6), (9, 20)])
 def test_top_k_matches_plain_version(spark, shard_rows, cell_rows):
     rng = random.Random(2)
