@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, lean, stored, table
-from .neardup import _LOW, _mix, _powers, _salted, _verified, components, shingles
+from .neardup import _LOW, _mix, _overlaps, _powers, _salted, components, merged, shingles
 
 #: Sets of a group, and their tokens in all, unless one has more alone.
 GROUP, GROUP_TOKENS = 64, 500_000
@@ -386,27 +386,55 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
 
 
+def _members_linked(size: int, percent: int):
+    def run(asked: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+        """Links (a, b) of queries b with members a of larger components, by full sets; one for each two components is enough."""
+        found: dict[tuple, tuple] = {}
+        if len(asked) and len(inside):
+            sides = [[shingles(t, size) for t in side["text"]] for side in (asked, inside)]
+            n, m = [np.array([len(s) for s in side]) for side in sides]
+            own, other = [pd.MultiIndex.from_frame(side[["weight", "label"]]).to_list() for side in (asked, inside)]
+            ranks = {x: k for k, x in enumerate(sorted({*own, *other}))}
+            x, y = [np.array([ranks[r] for r in side]) for side in (own, other)]
+            may = (x[:, None] < y[None, :]) & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :]))
+            rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+            if len(rows):
+                both = _overlaps([sides[0][k] for k in rows], [sides[1][k] for k in columns]).astype(np.int64)
+                link = may[np.ix_(rows, columns)] & (100 * both >= percent * (n[rows][:, None] + m[columns][None, :] - both))
+                a, b = inside["id"].to_numpy()[columns], asked["id"].to_numpy()[rows]
+                for k, j in np.argwhere(link).tolist():
+                    found.setdefault((x[rows[k]], y[columns[j]]), (a[j], b[k]))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def _opened(asking: DataFrame, entries: DataFrame, members: DataFrame, unions: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of queries with members of larger components in the groups that they ask, given as (id, gid): bounds first, then full sets.
 
-    Only members that share leading tokens with something are verified: no other can link.
+    Only members that share leading tokens with something are verified: no other can link. Queries meet
+    a group's union, and then its members' sets, in blocks of ASKING: no pair is made a row of a table.
     """
-    plan = asking.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
-    queries = _salted(asking, _texts(docs, asking.select("id").distinct()), "id", "gid").select("id", "gid", "text")
-    queries = _salted(queries, plan, "gid", "id").select("id", "gid", "text", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    matrix = unions.join(plan, "gid").select("gid", "low", "high", "bits", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    by = ["gid", "block"]
+    by, every = ["gid", "block"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    # blocks are dealt before texts come, so that a text moves once less
+    planned = lambda df: df.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
+    plan = planned(asking)
+    queries = _salted(asking, plan, "gid", "id").select("id", "gid", block)
+    queries = _salted(queries, _texts(docs, asking.select("id").distinct()), "id", "gid").select("id", "gid", "block", "text")
+    matrix = unions.join(plan, "gid").select("gid", "low", "high", "bits", "tokens", every)
     open_ = queries.groupBy(*by).cogroup(matrix.groupBy(*by)).applyInPandas(_bounded(size, percent), "id long, gid long")
     open_ = stored(open_.distinct(), "setjoin-open")
 
-    known = members.select("id", F.col("n").alias("own"), F.col("label").alias("own_label"), F.col("weight").alias("own_weight")).distinct()
-    who = _salted(open_, known, "id", "gid")
-    fits = (100 * F.least("n", "own") >= percent * F.greatest("n", "own")) & (F.col("label") != F.col("own_label"))
-    larger = (F.col("weight") > F.col("own_weight")) | ((F.col("weight") == F.col("own_weight")) & (F.col("label") > F.col("own_label")))
-    inside = entries.select("gid", F.col("id").alias("a"), "n", "label", "weight").distinct()
-    pairs = stored(who.join(inside, "gid").filter(fits & larger).select("a", F.col("id").alias("b")).distinct(), "setjoin-pairs")
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return stored(_verified(pairs, stored(texts, "setjoin-texts"), size, percent), "setjoin-links")
+    plan = planned(open_)
+    known = members.select("id", "label", "weight").distinct()
+    inside = entries.select("gid", "id", "label", "weight").distinct().join(plan, "gid")
+    texts = stored(_texts(docs, open_.select("id").unionByName(inside.select("id")).distinct()), "setjoin-texts")
+    asked = _salted(_salted(open_, plan, "gid", "id").select("id", "gid", block), known, "id", "gid").select("id", "gid", "block", "label", "weight")
+    asked = _salted(asked, texts, "id", "gid").select("id", "gid", "block", "label", "weight", "text")
+    inside = inside.join(texts, "id").select("id", "gid", "label", "weight", "text", every)
+    links = asked.groupBy(*by).cogroup(inside.groupBy(*by)).applyInPandas(_members_linked(size, percent), "a long, b long")
+    return stored(links.distinct(), "setjoin-links")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", group: int = GROUP, leaders: int = LEADERS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
@@ -450,16 +478,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     entries = entries.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(_shared, "token long, gid long, id long")
     entries = stored(entries, "setjoin-matrix").join(members.select("gid", "id", "n", "low", "high"), ["gid", "id"])
 
-    everything = links
+    labels = components(links)
     for step in ("representatives", "all"):
-        labels = components(everything)
         weights = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-        labels = stored(_salted(labels, weights, "label", "id"), "setjoin-labels")
-        named = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("weight", F.coalesce("weight", F.lit(1)))  # noqa: E731, B023
+        weighed = stored(_salted(labels, weights, "label", "id"), "setjoin-labels")
+        named = lambda df: df.join(weighed, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("weight", F.coalesce("weight", F.lit(1)))  # noqa: E731, B023
         mixed = stored(_several_labels(named(entries)), "setjoin-mixed")
         asking = stored(_asking(mixed, percent, step), "setjoin-asking")
-        everything = everything.unionByName(_opened(asking, mixed, named(members), unions, docs, size, percent))
-    labels = components(everything)
+        labels = merged(labels, _opened(asking, mixed, named(members), unions, docs, size, percent))
     out = _salted(rows.filter("member IS NOT NULL"), labels.select(F.col("id").alias("member"), "label"), "member", "id", "left")
     out = out.select("id", "n", F.coalesce("label", "member").alias("c"))
     out = out.unionByName(rows.filter("member IS NULL").select("id", "n", F.col("id").alias("c")))

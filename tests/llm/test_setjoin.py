@@ -122,3 +122,21 @@ def test_packed_sets_contain_what_they_must():
         bits, steps = setjoin.packed(own)
         assert setjoin.contained(own, bits, steps) == len(own)
         assert setjoin.contained(rng.integers(0, 1 << 63, 3000).astype(np.uint64), bits, steps) < 30
+
+
+def test_sets_below_the_threshold_of_one_passage_make_no_table_of_pairs(spark, monkeypatch):
+    # any two differ in one or two words of forty, which is too much; what groups hold in all looks like more
+    words = lambda i, j, last: " ".join([*(f"w{k}" for k in range(13)), f"a{i}", *(f"v{k}" for k in range(13)), f"b{j}", *(f"u{k}" for k in range(11)), last])
+    docs = spark.createDataFrame([(10 * i + j, words(i, j, "end")) for i in range(10) for j in range(10)] + [(100, words(0, 0, "other"))], "doc_id long, text string")
+    sizes, stored = [], setjoin.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(setjoin, "stored", counted)
+    got = setjoin.jaccard_components(docs, 3, 90, group=16).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{n: n for n in range(100)}, 100: 0}
+    # rows for sets and groups, of which there are ten at most, but none for two sets
+    assert max(n for n, name in sizes if name not in ("setjoin-matrix", "setjoin-mixed", "setjoin-groups")) < 1010
