@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import parse, policy, wording
 from loomwork.operators import classify, diff, directories, graph, history, scoped, sets, text
+from loomwork.plans import graphs as graphs_plan
 
 
 def queue_walk(parents, head, most):
@@ -183,3 +184,14 @@ def test_a_runs_files_are_dealt_as_they_are(spark, monkeypatch, many):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     if many == 64:
         assert "explode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histories_are_dealt_to_more_parts_as_their_rows_grow(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, graphs_plan.replay_from_marker(spark, folder).collect()))
+    entries = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(history, "ROWS_A_TASK", 500)
+    dealt = graphs_plan.replay_from_marker(spark, folder)
+    assert history.parts_for(spark, entries) == -(-entries // 500) > 4 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.rdd.getNumPartitions() == -(-entries // 500)
+    assert sorted(map(tuple, dealt.collect())) == want
