@@ -345,9 +345,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     against = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column")) & smaller & fits & ~pooled).select(F.col("x.id").alias("id"), F.col("y.label").alias("label"), F.col("y.members").alias("members")).distinct()
     against = stored(against, "neardup-against")
     members = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    found = _verified(_few(against, nodes, members, percent), texts, size, percent)
-    found = found.unionByName(_many(against, pool, members, texts, size, percent))
-    labels = merged(labels, stored(found, "neardup-more"))
+    # one after the other, as the driver holds threads and plans of all exchanges of a query at once
+    few = stored(_few(against, nodes, members, percent), "neardup-few")
+    few = stored(_verified(few, texts, size, percent), "neardup-more")
+    many = stored(_many(against, pool, members, texts, size, percent), "neardup-more")
+    labels = merged(labels, few.unionByName(many))
 
     named = groups.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id"))
     out = sketches.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -371,12 +373,13 @@ def _few(against: DataFrame, nodes: DataFrame, members: DataFrame, percent: int)
 def _many(against: DataFrame, pool: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links of pools and other nodes with large components, and within pools, in blocks of bounded size."""
     asking = against.filter(F.col("members") > SMALL).select("id", "label").unionByName(pool.select("id", F.col("family").alias("label"))).distinct()
+    asking = stored(asking, "neardup-asking")
     inside = members.select("id", "label", "n").join(asking.select("label").distinct(), "label").withColumn("inside", F.lit(True))
     outside = pool.select("id", F.col("family").alias("label")).join(members.select("id", "n"), "id").select("label", "id", "n").withColumn("inside", F.lit(False))
-    asked = inside.select("label", "id", "n", "inside").unionByName(outside)
+    asked = stored(inside.select("label", "id", "n", "inside").unionByName(outside), "neardup-asked")
     sizes = asked.groupBy("label").agg(F.count(F.lit(1)).alias("asked"), F.max("n").alias("top")).join(asking.groupBy("label").agg(F.count(F.lit(1)).alias("asking")), "label")
     rows = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES / F.col("top"))))
-    plan = sizes.select("label", F.ceil(F.col("asking") / rows).alias("x_blocks"), F.ceil(F.col("asked") / rows).alias("y_blocks"))
+    plan = stored(sizes.select("label", F.ceil(F.col("asking") / rows).alias("x_blocks"), F.ceil(F.col("asked") / rows).alias("y_blocks")), "neardup-plan")
     deal = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     by = ["label", "x", "y"]

@@ -240,3 +240,16 @@ def test_recurring_pieces_are_merged_and_decoded_once(codec, monkeypatch):
         ids = codec.encode(text)
         assert own.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert len(made) == len({p for t in ("zqx\0zqx é zqx é\0", "x" * 40 + "\0" + "qz" * 33 * 33, "a b a b ") for p in own.split.findall(t)})
+
+
+def test_no_query_of_near_duplicates_holds_too_many_exchanges(spark):
+    """The driver holds the threads and plans of all exchanges of a query at once."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(12))) for i in range(60)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = store.executionsCount()
+    assert neardup.near_duplicates(docs, 3, 80).count() == 60
+    made = [store.executionsList(began, 1000).apply(k) for k in range(store.executionsCount() - began)]
+    nodes = [store.planGraph(e.executionId()).allNodes() for e in made]
+    exchanges = [sum("Exchange" in own.apply(k).name() and "Reused" not in own.apply(k).name() for k in range(own.size())) for own in nodes]
+    assert max(exchanges) <= 12, sorted(exchanges)[-3:]
