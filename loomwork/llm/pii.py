@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, matches, parts, replaced, spans_text, stored, table
+from .common import labelled, matches, parts, perhaps_among, replaced, spans_text, stored, table
 
 # \G lets a match begin where the last one ended; else a match can begin only where a run of its
 # first class does, which keeps long runs linear. Possessive groups are matched without recursion.
@@ -98,13 +98,17 @@ def disclosing(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataF
     pairs = holding.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     entities = mentions.select("_h1", "_h2", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = stored(pairs.join(entities, "entity"), "pii-pairs")
-    texts = docs.select(*_hashes(F.coalesce(F.col(text), F.lit(""))), F.col(text).alias("text")).dropDuplicates(["_h1", "_h2"])
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("term")).filter(F.length("term") > 0)
+    # a text counts once: all rows are counted and those beyond a text's first taken off, so that only texts with copies are shuffled
+    texts = docs.select(*_hashes(F.coalesce(F.col(text), F.lit(""))), F.col(text).alias("text"))
+    several = scanned.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    copied = perhaps_among(texts, several, "_h1", "_h2").groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    counted = texts.select("text", F.lit(1).cast("long").alias("by")).unionByName(copied.select("text", (1 - F.col("rows")).alias("by")))
+    words = counted.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("term"), "by").filter(F.length("term") > 0)
     terms = pairs.select("term").distinct()
     if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:  # a bounded list goes to all tasks, so that no other word is shuffled
         words = words.join(F.broadcast(terms), "term", "left_semi")
     # counted before they meet the pairs, so that what a join makes doesn't grow with both
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = words.groupBy("term").agg(F.sum("by").alias("n_t"))
     total = scanned.select("_h1", "_h2").distinct().agg(F.count(F.lit(1)).alias("n"))
     share = 1 - F.log(F.greatest(F.col("n_t"), "n_te") / F.col("n_te")) / F.log(F.col("n") / F.col("n_e"))
     found = pairs.join(n_t, "term").join(F.broadcast(total)).filter((F.col("n") > F.col("n_e")) & ((F.col("n_te") >= MIN_SUPPORT) | (_chance_bits() >= CHANCE_BITS)))

@@ -206,3 +206,23 @@ def test_tables_are_known_by_their_fingerprint(spark):
 def test_parts_keep_length(spark):
     df = spark.createDataFrame([("a\x00b1c22\x01",)], "t string").select(common.parts(F.col("t"), "[0-9]+").alias("p"))
     assert df.first()["p"] == ["a\x01b", "1", "c", "22", "\x01"]
+
+
+def test_texts_without_copies_are_not_shuffled_to_be_counted(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(9))
+    rows = [(i, f"please write to Zebulon{i} Ox at zo{i}@corp.test today " + " ".join(word() for _ in range(3000))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *[(100 + i, t) for i, t in rows[:2]]], "doc_id long, text string")
+    docs = common.stored(docs, "test-docs")
+    scanned = common.stored(pii.scan(docs), "test-scan")
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in map(kept.apply, range(kept.size()))}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    kept = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = stages()
+    pairs = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing(scanned, docs.select("text")).collect()}
+    kept = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    moved = sum(n for k, n in stages().items() if k not in before)
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing(pii.scan(once), once).collect()}
+    assert pairs == alone and ("email:zo1@corp.test", "zebulon") not in pairs and len(pairs) >= 60
+    assert moved < sum(len(t) for _, t in rows) / 3, moved
