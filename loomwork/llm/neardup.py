@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, pinned, slices, stored, table
+from .common import map_texts, perhaps_among, pinned, slices, stored, table
 
 UNIVERSE, COORDINATES, ROWS_PER_BAND = 1 << 18, 256, 4
 #: Leaders that a node is verified against before its buckets are looked at in full.
@@ -163,8 +163,8 @@ def _salted(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inne
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids that link on their full sets. One a, or b, may have many partners."""
-    with_b = _salted(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a")
-    both = _salted(with_b, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", "b").select("a", "b", "text_a", "text_b")
+    of = lambda c: perhaps_among(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), pairs, c)
+    both = _salted(_salted(pairs, of("b"), "b", "a"), of("a"), "a", "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         import pyarrow as pa
@@ -310,9 +310,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     star = seen.groupBy(F.col("x.id").alias("id")).agg(F.slice(best, 1, LEADERS).alias("best")).select("id", F.explode("best.leader").alias("leader"))
     pairs = stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "neardup-stars")
 
-    # texts of all nodes that share a bucket, one row for each text of an id
+    # texts of all nodes that share a bucket, one row for each text of an id; other texts aren't shuffled
     ids = shared.select("id").distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["id"]).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
+    near = perhaps_among(docs, shared.select(F.col("id").alias("doc_id")), "doc_id")
+    texts = near.join(ids, near["doc_id"] == ids["id"]).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
     texts = stored(texts, "neardup-texts")
     edges = _verified(pairs, texts, size, percent).unionByName(_same_id(usable, groups))
     edges = stored(edges, "neardup-edges")
@@ -384,8 +385,8 @@ def _many(against: DataFrame, pool: DataFrame, members: DataFrame, texts: DataFr
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     by = ["label", "x", "y"]
     # a text is looked up once and then copied to its blocks
-    xs = asking.join(plan, "label").join(texts, "id").select("label", "id", "text", deal("x_blocks", 1).alias("x"), every("y_blocks").alias("y"))
-    ys = asked.join(plan, "label").join(texts, "id").select("label", "id", "inside", "text", deal("y_blocks", 2).alias("y"), every("x_blocks").alias("x"))
+    xs = asking.join(plan, "label").join(perhaps_among(texts, asking, "id"), "id").select("label", "id", "text", deal("x_blocks", 1).alias("x"), every("y_blocks").alias("y"))
+    ys = asked.join(plan, "label").join(perhaps_among(texts, asked, "id"), "id").select("label", "id", "inside", "text", deal("y_blocks", 2).alias("y"), every("x_blocks").alias("x"))
     xs = xs.select(*[F.col(c).alias(c) for c in (*by, "id", "text")])
     ys = ys.select(*[F.col(c).alias(c) for c in (*by, "id", "inside", "text")])
     return xs.groupBy(*by).cogroup(ys.groupBy(*by)).applyInPandas(_block(size, percent), "a long, b long")

@@ -253,3 +253,34 @@ def test_no_query_of_near_duplicates_holds_too_many_exchanges(spark):
     nodes = [store.planGraph(e.executionId()).allNodes() for e in made]
     exchanges = [sum("Exchange" in own.apply(k).name() and "Reused" not in own.apply(k).name() for k in range(own.size())) for own in nodes]
     assert max(exchanges) <= 12, sorted(exchanges)[-3:]
+
+
+def test_only_texts_that_share_a_bucket_are_shuffled(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(300)]
+    docs.append((300, docs[7][1] + " end"))
+    store, stored, moved = spark._jsparkSession.sharedState().statusStore(), neardup.stored, []
+
+    def watched(df, name):
+        began = store.executionsCount()
+        out = stored(df, name)
+        if name == "neardup-texts":
+            spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            for n in range(store.executionsCount() - began):
+                ident = store.executionsList(began, 1000).apply(n).executionId()
+                values, nodes = store.executionMetrics(ident), store.planGraph(ident).allNodes()
+                own = [nodes.apply(k).metrics() for k in range(nodes.size())]
+                counts = [m.apply(k).accumulatorId() for m in own for k in range(m.size()) if m.apply(k).name() == "shuffle records written"]
+                moved.extend(int(values.apply(c).replace(",", "")) for c in counts if values.contains(c))
+        return out
+
+    monkeypatch.setattr(neardup, "stored", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(300)}, 300: 7}
+    # the two near copies, a row of the bitmap for each of them and what else shares a bucket; not all 301 texts
+    assert moved and max(moved) < 100, moved
