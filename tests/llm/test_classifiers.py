@@ -121,6 +121,21 @@ def test_scoring_in_slices_is_what_the_network_gives():
             assert value == pytest.approx(own.max(), abs=1e-4) and own[first] == pytest.approx(own.max(), abs=1e-4)
 
 
+def test_words_of_many_texts_are_learned_at_once_and_forgotten(monkeypatch):
+    net, calls = toxicity.Network(seed=2), []
+    embed = net.embed
+    monkeypatch.setattr(net, "embed", lambda inputs: (calls.append(1), embed(inputs))[1])
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(50)]
+    scorer = toxicity.Scorer(net)
+    want = scorer.logits(texts)
+    assert len(calls) == 1
+    monkeypatch.setattr(toxicity, "CACHE", 30)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 16)
+    got = toxicity.Scorer(net).logits(texts)
+    assert [g[0] for g in got] == pytest.approx([w[0] for w in want], abs=1e-5)
+    assert scorer.logits(texts[:1])[0][0] == pytest.approx(want[0][0], abs=1e-5)
+
+
 def test_toxicity_learns_words_and_beginnings_of_words(spark):
     rng = random.Random(4)
     rows = []
