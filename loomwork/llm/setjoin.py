@@ -46,6 +46,8 @@ TOGETHER_BYTES = 1 << 20
 ID_BITS = 1 << 24
 #: Queries that meet a group's union in one task.
 ASKING = 256
+#: Leading tokens of more sets than that count their shares in cells, of so many queries by so many groups.
+OFTEN, CELL_SETS, CELL_GROUPS = 256, 256, 64
 
 _U = np.uint64
 _NOTHING = np.zeros(0, _U)
@@ -518,15 +520,66 @@ def _asking(entries: DataFrame, percent: int, step: str) -> DataFrame:
         met = one.select("token", "label", "e.*").join(top.select("token", F.col("t.label").alias("top"), "t.gid", "t.low", "t.high"), "token")
         met = met.filter(fits & (F.col("label") != F.col("top")))
     else:
-        held = entries.groupBy("token", "gid").agg(F.max(rank).alias("top"), F.min("low").alias("low"), F.min("high").alias("high"))
-        queries = entries.select("token", "id", "n", F.col("gid").alias("own"), rank.alias("rank"))
+        often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > OFTEN).select("token")
+        often = stored(often, "setjoin-often")
+        seldom = entries.join(often, "token", "left_anti")
+        held = seldom.groupBy("token", "gid").agg(F.max(rank).alias("top"), F.min("low").alias("low"), F.min("high").alias("high"))
+        queries = seldom.select("token", "id", "n", F.col("gid").alias("own"), rank.alias("rank"))
         met = queries.join(held, "token").filter(fits & (F.col("top") > F.col("rank")))
-    shared = met.groupBy("id", "gid").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"), F.min("low").alias("low"))
+    met = met.select("id", "gid", "n", "low", F.lit(1).cast("long").alias("shared"))
+    if step != "representatives":
+        met = met.unionByName(_shared_in_cells(entries.join(often, "token"), percent))
+    shared = met.groupBy("id", "gid").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"), F.min("low").alias("low"))
     # tokens that the two of a link share have two labels and lie in two groups, so all of them are in the last step's count
     enough = F.col("shared") >= F.least(_least_shared(F.col("n"), percent), _least_shared(F.col("low"), percent))
     return shared.filter(enough).select("id", "gid")
 
 
+def _cell(percent: int):
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """How many tokens each query shares with each group of a larger component that fits its size."""
+        names = ["id", "gid", "n", "low", "shared"]
+        if not len(asked) or not len(held):
+            return pd.DataFrame(columns=names).astype("int64")
+        sides = asked.groupby(["id", "own"], as_index=False).agg({"n": "min", "weight": "min", "label": "min"}), held.groupby("gid", as_index=False).agg({"low": "min", "high": "max"})
+        top = held.sort_values(["weight", "label"]).groupby("gid", as_index=False).last()
+        x = pd.MultiIndex.from_frame(sides[0][["id", "own"]]).get_indexer(pd.MultiIndex.from_frame(asked[["id", "own"]]))
+        y = pd.Index(sides[1]["gid"]).get_indexer(held["gid"])
+        count = np.zeros((len(sides[0]), len(sides[1])), np.int64)
+        of = held.assign(y=y).groupby("token")["y"].unique()
+        for token, own in asked.assign(x=x).groupby("token")["x"].unique().items():
+            if token in of.index:
+                count[np.ix_(own, of[token])] += 1
+        q, g = ({c: side[c].to_numpy() for c in side} for side in sides)
+        w, label, n = (q[c][:, None] for c in ("weight", "label", "n"))
+        fits = 100 * np.minimum(n, g["high"]) >= percent * np.maximum(n, g["low"])
+        larger = (top["weight"].to_numpy() > w) | ((top["weight"].to_numpy() == w) & (top["label"].to_numpy() > label))
+        i, j = np.nonzero((count > 0) & fits & larger & (q["own"][:, None] != g["gid"]))
+        return pd.DataFrame(dict(zip(names, (q["id"][i], g["gid"][j], q["n"][i], g["low"][j], count[i, j]), strict=True)))
+
+    return run
+
+
+def _shared_in_cells(entries: DataFrame, percent: int) -> DataFrame:
+    """(id, gid, n, low, shared): queries and groups of larger components, and how many of the entries' tokens they share.
+
+    For tokens of many sets: queries are dealt to parts and groups to blocks, and each part meets each block
+    that has a token of its own in a task, so that a query is a row for each block and not for each group.
+    """
+    sizes = entries.agg(F.count_distinct("id").alias("sets"), F.count_distinct("gid").alias("groups")).first()
+    parts, blocks = max(1, -(-sizes["sets"] // CELL_SETS)), max(1, -(-sizes["groups"] // CELL_GROUPS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    queries = entries.select("token", "id", F.col("gid").alias("own"), "n", "weight", "label", deal("id", parts).alias("part"))
+    top = F.max(F.struct("weight", "label"))
+    held = entries.groupBy("token", "gid").agg(top.alias("top"), F.min("low").alias("low"), F.max("high").alias("high"))
+    held = held.select("token", "gid", "low", "high", "top.weight", "top.label", deal("gid", blocks).alias("block"))
+    asked = queries.join(held.select("token", "block").distinct(), "token")
+    held = held.join(queries.select("token", "part").distinct(), "token")
+    asked, held = [df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (asked, held)]
+    by = ["part", "block"]
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(_cell(percent), "id long, gid long, n long, low long, shared long")
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 

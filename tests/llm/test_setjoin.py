@@ -140,3 +140,28 @@ def test_sets_below_the_threshold_of_one_passage_make_no_table_of_pairs(spark, m
     assert {r["doc_id"]: r["component_id"] for r in got} == {**{n: n for n in range(100)}, 100: 0}
     # rows for sets and groups, of which there are ten at most, but none for two sets
     assert max(n for n, name in sizes if name not in ("setjoin-matrix", "setjoin-mixed", "setjoin-groups")) < 1010
+
+
+def test_tokens_of_many_sets_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "OFTEN", 8)
+    monkeypatch.setattr(setjoin, "CELL_SETS", 16)
+    monkeypatch.setattr(setjoin, "CELL_GROUPS", 4)
+    rng = random.Random(5)
+    entries = {(rng.randrange(12), i, 1000 + i // 2) for i in range(120) for _ in range(4)}
+    rows = [(t, i, g, 40 + i % 5, 40, 44, i % 7, 1 + i % 3) for t, i, g in sorted(entries)]
+    frame = spark.createDataFrame(rows, "token long, id long, gid long, n long, low long, high long, label long, weight long")
+    met = []
+    cells = setjoin._shared_in_cells
+    monkeypatch.setattr(setjoin, "_shared_in_cells", lambda df, percent: (met.append(out := cells(df, percent)), out)[1])
+    got = sorted(map(tuple, setjoin._asking(frame, 90, "all").collect()))
+    tokens, top, rank = {}, {}, {}
+    for t, i, g, n, _, _, label, weight in rows:
+        tokens.setdefault(("id", i), set()).add(t)
+        tokens.setdefault(("gid", g), set()).add(t)
+        top[g] = max(top.get(g, (0, 0)), (weight, label))
+        rank[i] = (weight, label)
+    both = {(i, g): len(tokens["id", i] & tokens["gid", g]) for i in rank for g in top if 1000 + i // 2 != g and top[g] > rank[i]}
+    need = lambda n: 1 + (n - -(-n * 90 // 100) + 1) // 2
+    assert got == sorted(x for x, k in both.items() if k >= min(need(40 + x[0] % 5), need(40)))
+    # all tokens are of more than eight sets: a pair is a row once, whatever it shares
+    assert met[0].count() == sum(k > 0 for k in both.values())
